@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,6 +93,24 @@ def skew_join(
     return salted.join(repeated, [key, "_salt"], how).drop("_salt")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def literal_map(values: dict[str, str]) -> Column:
+    """A string map as one constant, so a large table is not planned entry by entry."""
+    return F.from_json(F.lit(json.dumps(values)), "map<string,string>")
+
+
+def micros(c: Column) -> Column:
+    """Microseconds since 1970 of a timestamp without zone, whatever the session zone."""
+    days = F.date_diff(c.cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint")
+    minutes = (days * 24 + F.hour(c)) * 60 + F.minute(c)
+    seconds = F.extract(F.lit("SECOND"), c).cast("decimal(20,6)")
+    return minutes * 60_000_000 + (seconds * 1_000_000).cast("bigint")
+
+
 def blank_to_null(c: Column) -> Column:
     """Empty string counts as missing."""
     return F.nullif(c, F.lit(""))

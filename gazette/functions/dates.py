@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gazette.common import literal_map
+
 # Month names of mail dates.
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 # Named zones of mail dates, as minutes east of UTC.
@@ -32,10 +34,6 @@ _MAIL_DATE = (
 _ZONE = r"(Z|[A-Z]{2,3}|[+-]\d{2}:?\d{2})\z"
 
 
-def _literal_map(values: dict) -> Column:
-    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
-
-
 def _offset_minutes(text: Column) -> Column:
     """Minutes east of UTC written at the end of a date that has a time; otherwise 0."""
     zone = F.when(text.contains(":"), F.regexp_extract(text, _ZONE, 1))
@@ -44,7 +42,8 @@ def _offset_minutes(text: Column) -> Column:
         digits, 3, 2
     ).try_cast("int")
     signed = F.when(zone.startswith("-"), -minutes).otherwise(minutes)
-    return F.coalesce(F.element_at(_literal_map(ZONES), zone), signed, F.lit(0))
+    zones = literal_map({name: str(east) for name, east in ZONES.items()})
+    return F.coalesce(F.element_at(zones, zone).cast("int"), signed, F.lit(0))
 
 
 def parse_feed_date(c: Column) -> Column:
@@ -56,17 +55,16 @@ def parse_feed_date(c: Column) -> Column:
     text = F.btrim(c)
     part = [F.regexp_extract(text, _MAIL_DATE, i) for i in range(1, 7)]
     month = F.element_at(
-        _literal_map({m: f"{i:02d}" for i, m in enumerate(MONTHS, 1)}), F.lower(part[1])
+        literal_map({m: f"{i:02d}" for i, m in enumerate(MONTHS, 1)}), F.lower(part[1])
     )
     mail = F.concat(
         part[2], F.lit("-"), month, F.lit("-"), F.lpad(part[0], 2, "0"), F.lit("T"),
         F.lpad(part[3], 2, "0"), F.lit(":"), part[4], F.lit(":"),
         F.coalesce(F.nullif(part[5], F.lit("")), F.lit("00")),
     )
-    iso = F.regexp_replace(text, r"(:\d{2}(?:\.\d+)?)\s*(?:Z|[+-]\d{2}:?\d{2})\z", "$1")
+    iso = F.regexp_replace(text, r"(:\d{2})(?:\.\d+)?\s*(?:Z|[+-]\d{2}:?\d{2})?\z", "$1")
     wall = F.when(text.rlike(_MAIL_DATE), mail).when(text.rlike(r"\A\d{4}"), iso)
-    local = F.date_trunc("second", wall.try_cast("timestamp_ntz"))
-    return F.timestamp_add("MINUTE", -_offset_minutes(text), local).cast("timestamp_ntz")
+    return F.timestamp_add("MINUTE", -_offset_minutes(text), wall.try_cast("timestamp_ntz"))
 
 
 def first_feed_date(*fields: Column) -> Column:

@@ -7,6 +7,7 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gazette.common import let, literal_map
 from gazette.functions.text import strip_whitespace
 
 # One character reference: decimal, hexadecimal, or a name with or without semicolon.
@@ -27,18 +28,24 @@ _COMMON = {
 }
 
 
-def _name_table() -> Column:
-    pairs = [F.lit(part) for name, value in html5.items() for part in (name, value)]
-    return F.create_map(*pairs)
+# A map is searched from its start, so the names of Western letters and signs, which make
+# up nearly every other reference, have a small map of their own.
+_WESTERN = {n: v for n, v in html5.items() if len(v) == 1 and ord(v) < 256}
+_OTHER = {n: v for n, v in html5.items() if n not in _WESTERN}
+
+
+def _named(name: Column) -> Column:
+    return F.coalesce(
+        F.element_at(literal_map(_WESTERN), name), F.element_at(literal_map(_OTHER), name)
+    )
 
 
 def _legacy_bytes() -> Column:
     """Code points 128-159 as browsers read them: windows-1252, undefined bytes as they are."""
-    pairs: list[Column] = []
-    for code in range(0x80, 0xA0):
-        text = bytes([code]).decode("cp1252", errors="ignore") or chr(code)
-        pairs += [F.lit(code).cast("bigint"), F.lit(text)]
-    return F.create_map(*pairs)
+    codes = range(0x80, 0xA0)
+    return literal_map(
+        {str(n): bytes([n]).decode("cp1252", errors="ignore") or chr(n) for n in codes}
+    )
 
 
 def _from_code_point(code: Column) -> Column:
@@ -59,7 +66,7 @@ def _from_code_point(code: Column) -> Column:
     encoded = F.unhex(F.lpad(F.hex(code), 8, "0"))
     return (
         F.when(unreadable, replacement)
-        .when(code.between(0x80, 0x9F), F.element_at(_legacy_bytes(), code))
+        .when(code.between(0x80, 0x9F), F.element_at(_legacy_bytes(), code.cast("string")))
         .when(dropped, F.lit(""))
         .otherwise(F.decode(encoded, "UTF-32"))
     )
@@ -72,22 +79,21 @@ def _decode_reference(ref: Column) -> Column:
         F.conv(F.concat(F.lit("0"), digits), 16, 10).try_cast("bigint")
     )
     body = F.substr(ref, F.lit(2))
+    bare_names = {n: html5[n] for n in _BARE_NAMES}
     prefix = F.regexp_extract(body, r"\A(?:" + "|".join(_BARE_NAMES) + ")", 0)
-    table = _name_table()
-    named = F.coalesce(
-        F.element_at(table, body),
-        F.when(
-            prefix != "",
-            F.concat(F.element_at(table, prefix), F.substr(body, F.length(prefix) + 1)),
+    bare = let(
+        prefix,
+        lambda p: F.when(
+            p != "", F.concat(F.element_at(literal_map(bare_names), p), F.substr(body, F.length(p) + 1))
         ),
-        ref,
     )
+    named = F.coalesce(_named(body), bare, ref)
     decoded = F.when(ref == "&amp;", F.lit("&"))
     for name, text in _COMMON.items():
         decoded = decoded.when(ref == name, F.lit(text))
     return (
-        decoded.when(ref.rlike(r"\A&#[0-9]"), _from_code_point(decimal))
-        .when(ref.rlike(r"\A&#[xX]"), _from_code_point(hexadecimal))
+        decoded.when(ref.rlike(r"\A&#[0-9]"), let(decimal, _from_code_point))
+        .when(ref.rlike(r"\A&#[xX]"), let(hexadecimal, _from_code_point))
         .otherwise(named)
     )
 

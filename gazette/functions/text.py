@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gazette.common import let
+
 # The characters Python's str.split() treats as white space.
 WHITESPACE = (
     r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
@@ -74,20 +76,27 @@ def chunk_words(c: Column, limit: int = 2000) -> Column:
     characters or more stands alone, and one at the very start is preceded by an empty
     chunk.
     """
-    text = collapse_whitespace(F.coalesce(c, F.lit("")))
     pattern = rf"(?s)([^ ]{{{limit},}}|.{{1,{limit - 1}}})(?: |\z)"
+    text = collapse_whitespace(F.coalesce(c, F.lit("")))
     chunks = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    return F.when(
-        text.rlike(rf"\A[^ ]{{{limit}}}"), F.concat(F.array(F.lit("")), chunks)
-    ).otherwise(chunks)
+    blank = F.array(F.lit(""))
+
+    def lead(cs: Column) -> Column:
+        oversize = F.length(F.get(cs, F.lit(0))) >= limit
+        return F.when(oversize, F.concat(blank, cs)).otherwise(cs)
+
+    return let(chunks, lead)
 
 
 def cap_chunks(chunks: Column, cap: int = 10) -> Column:
     """Keep the first ``cap`` chunks; the last one kept then carries the cut mark."""
-    marked = F.concat(F.element_at(chunks, cap), F.lit(CAPPED_MARK))
-    return F.when(
-        F.size(chunks) > cap, F.concat(F.slice(chunks, 1, cap - 1), F.array(marked))
-    ).otherwise(chunks)
+
+    def capped(cs: Column) -> Column:
+        marked = F.concat(F.get(cs, F.lit(cap - 1)), F.lit(CAPPED_MARK))
+        head = F.slice(cs, 1, cap - 1)
+        return F.when(F.size(cs) > cap, F.concat(head, F.array(marked))).otherwise(cs)
+
+    return let(chunks, capped)
 
 
 def words(c: Column) -> Column:

@@ -36,11 +36,15 @@ def page_record(
     """
     raw = F.coalesce("analysis", F.lit(""))
     picture = F.when(is_web_url(F.col("image_url")), F.col("image_url"))
-    prepared = articles.select(
+    # one step per stage of the text, so that none is evaluated more than once
+    unescaped = articles.withColumns(
+        {"title": unescape_text(F.col("title")), "content": unescape_text(F.col("content"))}
+    )
+    prepared = unescaped.select(
         "link",
-        unescape_text(F.col("title")).alias("title"),
+        "title",
         cap_chunks(
-            chunk_words(unescape_text(F.col("content")), settings.chunk_size), settings.chunk_cap
+            chunk_words(F.col("content"), settings.chunk_size), settings.chunk_cap
         ).alias("chunks"),
         analysis_defaults(parse_analysis(raw), raw).alias("a"),
         picture.alias("picture"),

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from gazette.common import micros
+
 #: Up to this many rows a top-n plan beats the counting plan.
 TOP_N_ROWS = 10_000
 
@@ -15,10 +17,9 @@ TOP_N_ROWS = 10_000
 def _order_levels(ledger: DataFrame) -> DataFrame:
     """Sort key split into integers of growing precision: day, second, microsecond and block
     of arrival numbers. Compared in turn they give the order date (missing first), arrival."""
-    epoch = F.expr("timestamp_ntz'1970-01-01 00:00:00'")
     earliest = F.expr("timestamp_ntz'0001-01-01 00:00:00'")
     date = F.coalesce(F.col("published_date"), earliest)
-    return ledger.withColumn("_k2", F.timestamp_diff("MICROSECOND", epoch, date)).withColumns(
+    return ledger.withColumn("_k2", micros(date)).withColumns(
         {
             "_k0": F.expr("_k2 div 86400000000"),
             "_k1": F.expr("_k2 div 1000000"),

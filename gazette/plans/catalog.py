@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.common import new_folder
+from gazette.common import micros, new_folder
 from gazette.functions import dates, entities, payload, text, urls
 from gazette.operators import content as C
 from gazette.operators import enrichment as E
@@ -751,12 +751,11 @@ def article_pipeline(spark: SparkSession, sf: str) -> DataFrame:
 def _arrivals(spark: SparkSession, sf: str, copies: int = 1) -> DataFrame:
     path = f"{sf}/events.parquet"
     schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).parquet(path)
+    # written as a pattern, a table stored as one file streams like a folder of files
+    stream = spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
     repeated = stream.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
     # arrival times carry no zone; a watermark needs an instant
-    instant = F.timestamp_micros(
-        F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), F.col("ts"))
-    )
+    instant = F.timestamp_micros(micros(F.col("ts")))
     return repeated.select(
         F.col("event_type").alias("feed_url"),
         F.concat(F.lit("https://news.example/e/"), "event_id").alias("link"),

@@ -58,6 +58,8 @@ def ledger_batches(store: LedgerStore, settings: Settings, run_ts: datetime.date
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        if batch.isEmpty():  # a batch that only moves the watermark is not a run
+            return
         before = store.read(before=batch_id)
         unknown = batch.join(before.select(F.col("url").alias("link")), "link", "left_anti")
         top = F.coalesce(before.agg(F.max("ingest_ord")).scalar(), F.lit(-1))
