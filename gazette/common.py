@@ -6,8 +6,9 @@ import json
 import tempfile
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A key is hot when it holds more than 1/HOT_SHARE of the rows, so there are never more
@@ -39,16 +40,27 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{work_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+@dataclass(frozen=True)
+class Staged:
+    """A table written to the shared folder and its exact number of rows."""
+
+    df: DataFrame
+    rows: int
+
+
+def stage(df: DataFrame, label: str, rows: Column | None = None) -> Staged:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage with files that outlive a lost executor, lets several consumers
-    read only the columns they need, and gives the planner exact sizes.
+    read only the columns they need, and gives the planner exact sizes. The row count
+    (or ``rows``, when rows are to be exploded later) is taken during the write.
     """
     spark = df.sparkSession
     path = new_folder(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    counted = F.count(F.lit(1)) if rows is None else rows
+    df.observe(seen, counted.alias("rows")).write.parquet(path)
+    return Staged(spark.read.schema(df.schema).parquet(path), seen.get["rows"] or 0)
 
 
 def skew_join(
@@ -56,41 +68,32 @@ def skew_join(
     dim: DataFrame,
     key: str,
     spread: str,
-    how: str = "inner",
+    rows: int,
     load: DataFrame | None = None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
-    """Equi-join on ``key`` where a single key may hold a large part of ``facts``.
+    """Inner equi-join on ``key`` where a single key may hold a large part of ``facts``.
 
-    Rows per key are counted with map-side combine. Rows of a hot key are spread over
-    salts by the hash of column ``spread``, and the matching rows of ``dim`` are repeated once per
-    salt; every other key stays at salt 0. ``load`` (key, rows) saves the count when the
-    caller already has it.
+    ``rows`` bounds the rows of ``facts``. Unless it exceeds ``hot_rows`` no key can be
+    heavy and a plain join does. Otherwise rows per key are counted with map-side
+    combine (or given as ``load``: key, rows), the rows of a hot key are spread over
+    salts by the hash of column ``spread``, and the matching rows of ``dim`` are repeated
+    once per salt; every other key stays at salt 0.
     """
+    hot_rows = HOT_ROWS if hot_rows is None else hot_rows
+    if rows <= hot_rows:
+        return facts.join(dim, key)
     if load is None:
         load = facts.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
-    total = load.agg(F.sum("rows").alias("rows")).scalar()
-    per_salt = F.greatest(F.lit(hot_rows).cast("double"), total / F.lit(float(HOT_SHARE)))
+    per_salt = max(hot_rows, rows // HOT_SHARE)
     hot = load.withColumn("_copies", F.ceil(F.col("rows") / per_salt)).where("_copies > 1")
-    # at most HOT_SHARE keys can exceed per_salt rows, so this broadcast is bounded
+    # at most HOT_SHARE keys can hold more than per_salt rows, so this broadcast is bounded
     hot = F.broadcast(hot.select(key, "_copies"))
-    salted = (
-        facts.join(hot, key, "left")
-        .withColumn(
-            "_salt",
-            F.coalesce(F.pmod(F.xxhash64(spread), F.col("_copies")), F.lit(0)).cast("int"),
-        )
-        .drop("_copies")
-    )
-    repeated = (
-        dim.join(hot, key, "left")
-        .withColumn(
-            "_salt",
-            F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)).cast("int") - 1)),
-        )
-        .drop("_copies")
-    )
-    return salted.join(repeated, [key, "_salt"], how).drop("_salt")
+    salt = F.coalesce(F.pmod(F.xxhash64(spread), F.col("_copies")), F.lit(0)).cast("int")
+    salts = F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)).cast("int") - 1)
+    salted = facts.join(hot, key, "left").withColumn("_salt", salt).drop("_copies")
+    repeated = dim.join(hot, key, "left").withColumn("_salt", F.explode(salts)).drop("_copies")
+    return salted.join(repeated, [key, "_salt"]).drop("_salt")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

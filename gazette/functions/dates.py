@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gazette.common import literal_map
+from gazette.common import let, literal_map
 
 # Month names of mail dates.
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
@@ -36,40 +34,44 @@ _ZONE = r"(Z|[A-Z]{2,3}|[+-]\d{2}:?\d{2})\z"
 
 def _offset_minutes(text: Column) -> Column:
     """Minutes east of UTC written at the end of a date that has a time; otherwise 0."""
-    zone = F.when(text.contains(":"), F.regexp_extract(text, _ZONE, 1))
-    digits = F.regexp_replace(zone, "[+:-]", "")
-    minutes = F.substring(digits, 1, 2).try_cast("int") * 60 + F.substring(
-        digits, 3, 2
-    ).try_cast("int")
-    signed = F.when(zone.startswith("-"), -minutes).otherwise(minutes)
     zones = literal_map({name: str(east) for name, east in ZONES.items()})
-    return F.coalesce(F.element_at(zones, zone).cast("int"), signed, F.lit(0))
 
+    def minutes(zone: Column) -> Column:
+        digits = F.regexp_replace(zone, "[+:-]", "")
+        size = F.substring(digits, 1, 2).try_cast("int") * 60 + F.substring(digits, 3, 2).try_cast("int")
+        signed = F.when(zone.startswith("-"), -size).otherwise(size)
+        return F.coalesce(F.element_at(zones, zone).cast("int"), signed, F.lit(0))
 
-def parse_feed_date(c: Column) -> Column:
-    """Mail-style or ISO date string to a UTC timestamp without zone, else null.
+    zone = F.when(text.contains(":"), F.regexp_extract(text, _ZONE, 1))
+    return let(F.coalesce(zone, F.lit("")), minutes)
 
-    The wall-clock part is read on its own and the written offset subtracted, so no
-    step depends on the session time zone. Fractions of a second are dropped.
-    """
-    text = F.btrim(c)
+
+def _parse(text: Column) -> Column:
     part = [F.regexp_extract(text, _MAIL_DATE, i) for i in range(1, 7)]
-    month = F.element_at(
-        literal_map({m: f"{i:02d}" for i, m in enumerate(MONTHS, 1)}), F.lower(part[1])
-    )
+    months = literal_map({m: f"{i:02d}" for i, m in enumerate(MONTHS, 1)})
     mail = F.concat(
-        part[2], F.lit("-"), month, F.lit("-"), F.lpad(part[0], 2, "0"), F.lit("T"),
-        F.lpad(part[3], 2, "0"), F.lit(":"), part[4], F.lit(":"),
-        F.coalesce(F.nullif(part[5], F.lit("")), F.lit("00")),
+        part[2], F.lit("-"), F.element_at(months, F.lower(part[1])), F.lit("-"),
+        F.lpad(part[0], 2, "0"), F.lit("T"), F.lpad(part[3], 2, "0"), F.lit(":"), part[4],
+        F.lit(":"), F.coalesce(F.nullif(part[5], F.lit("")), F.lit("00")),
     )
     iso = F.regexp_replace(text, r"(:\d{2})(?:\.\d+)?\s*(?:Z|[+-]\d{2}:?\d{2})?\z", "$1")
     wall = F.when(text.rlike(_MAIL_DATE), mail).when(text.rlike(r"\A\d{4}"), iso)
     return F.timestamp_add("MINUTE", -_offset_minutes(text), wall.try_cast("timestamp_ntz"))
 
 
-def first_feed_date(*fields: Column) -> Column:
-    """The first of several date fields that can be read."""
-    return reduce(lambda a, b: F.coalesce(a, b), [parse_feed_date(f) for f in fields])
+def parse_feed_date(c: Column) -> Column:
+    """Mail-style or ISO date string to a UTC timestamp without zone, else null.
+
+    The wall-clock part is read on its own and the written offset subtracted, so no
+    step depends on the session time zone. Fractions of a second are dropped.
+    """
+    return let(F.btrim(c), _parse)
+
+
+def first_feed_date(fields: Column) -> Column:
+    """The first of an array of date fields that can be read."""
+    parsed = F.transform(fields, lambda f: F.when(f.isNotNull(), parse_feed_date(f)))
+    return F.get(F.filter(parsed, lambda d: d.isNotNull()), F.lit(0))
 
 
 def iso_date(c: Column) -> Column:

@@ -28,6 +28,7 @@ from gazette.operators import similarity as M
 from gazette.plans import runs
 from gazette.schemas import ANALYSIS, FEED_DOCUMENT, Settings
 from gazette.sources import feeds, ledger, pages as page_source
+from gazette.sources.tables import read_spread, read_table
 from gazette.streaming import intake as T
 
 RUN_TS = datetime.datetime(2024, 3, 1, 6, 0, 0)
@@ -35,8 +36,9 @@ RUN_DATE = RUN_TS.date()
 SETTINGS = Settings(max_articles_per_feed=20)
 
 
-def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+def _table(spark: SparkSession, sf: str, name: str, heavy: bool = False) -> DataFrame:
+    read = read_spread if heavy else read_table
+    return read(spark, f"{sf}/{name}.parquet")
 
 
 def _registry(spark: SparkSession, extra: tuple[int, ...] = ()) -> DataFrame:
@@ -44,8 +46,8 @@ def _registry(spark: SparkSession, extra: tuple[int, ...] = ()) -> DataFrame:
     return feeds.feed_registry(spark, [(f"src{i}", f"Feed {i}") for i in numbers])
 
 
-def _documents(spark: SparkSession, sf: str) -> DataFrame:
-    return _table(spark, sf, "documents").selectExpr(
+def _documents(spark: SparkSession, sf: str, heavy: bool = False) -> DataFrame:
+    return _table(spark, sf, "documents", heavy).selectExpr(
         "doc_id",
         "source",
         "lang",
@@ -83,7 +85,7 @@ def _ledger(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _articles(spark: SparkSession, sf: str) -> DataFrame:
-    return _documents(spark, sf).selectExpr("doc_id as id", "title", "text")
+    return _documents(spark, sf, heavy=True).selectExpr("doc_id as id", "title", "text")
 
 
 # --- selection -------------------------------------------------------------------------
@@ -134,7 +136,7 @@ _XMLNS = (
 
 def _feed_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Every document as a feed of two items, every ninth one cut off."""
-    docs = _documents(spark, sf)
+    docs = _documents(spark, sf, heavy=True)
     when = F.timestamp_add(
         "MINUTE", F.col("doc_id"), F.expr("timestamp_ntz'2024-01-01 00:00:00'")
     )
@@ -190,7 +192,7 @@ def entry_date(spark: SparkSession, sf: str) -> DataFrame:
         F.when(kind == 2, F.concat(iso, F.lit("Z")))
         .when(kind == 4, F.concat(iso, F.lit(".250+00:00")))
     )
-    parsed = dates.first_feed_date(published, updated)
+    parsed = dates.first_feed_date(F.array(published, updated))
     return events.select("event_id", F.coalesce(dates.iso_date(parsed), F.lit("none")).alias("published"))
 
 
@@ -216,7 +218,7 @@ _SNIPPET = (
 
 def snippet_image(spark: SparkSession, sf: str) -> DataFrame:
     html = F.expr(f"concat({_SNIPPET}, text, '<img src=\"https://h/', lang, '/end.jpg\">')")
-    return _documents(spark, sf).select("doc_id", urls.snippet_image(html).alias("image_url"))
+    return _documents(spark, sf, heavy=True).select("doc_id", urls.snippet_image(html).alias("image_url"))
 
 
 _IMAGE_TAILS = (
@@ -305,7 +307,7 @@ def image_override(spark: SparkSession, sf: str) -> DataFrame:
 
 def article_content(spark: SparkSession, sf: str) -> DataFrame:
     """Pages with their entry: fetched text or, where the fetch failed, the summary."""
-    pages = _table(spark, sf, "pages").selectExpr(
+    pages = _table(spark, sf, "pages", heavy=True).selectExpr(
         "concat('https://news.example/a/', page_id) as url", "if(page_id % 10 = 0, null, html) as html"
     )
     entries = _table(spark, sf, "pages").selectExpr(
@@ -327,7 +329,7 @@ _PICTURED = (
 
 
 def main_image(spark: SparkSession, sf: str) -> DataFrame:
-    pages = _table(spark, sf, "pages").select(
+    pages = _table(spark, sf, "pages", heavy=True).select(
         F.concat(F.lit("https://news.example/a/"), "page_id").alias("url"), F.expr(_PICTURED).alias("html")
     )
     return C.article_content(pages).select("url", F.coalesce("image_url", F.lit("none")).alias("image_url"))
@@ -342,10 +344,10 @@ _BANNERED = (
 
 
 def clean_content(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _documents(spark, sf).select(
+    docs = _documents(spark, sf, heavy=True).select(
         F.concat(F.lit("d"), "doc_id").alias("key"), text.clean_content(F.expr(_BANNERED)).alias("content")
     )
-    pages = _table(spark, sf, "pages").select(
+    pages = _table(spark, sf, "pages", heavy=True).select(
         F.concat(F.lit("p"), "page_id").alias("key"), text.clean_content(F.col("html")).alias("content")
     )
     return docs.unionByName(pages)
@@ -360,7 +362,7 @@ def unescape_text(spark: SparkSession, sf: str) -> DataFrame:
     html = F.expr(
         "concat(html, ' &#8217;&amp;#39;&eacute;t&eacute&#x153;&notit;&unknown;&#128;&#0;\u0001&#', 161 + page_id % 90, '; ')"
     )
-    return _table(spark, sf, "pages").select("page_id", entities.unescape_text(html).alias("content"))
+    return _table(spark, sf, "pages", heavy=True).select("page_id", entities.unescape_text(html).alias("content"))
 
 
 def title_clean(spark: SparkSession, sf: str) -> DataFrame:
@@ -374,12 +376,12 @@ def truncate_words(spark: SparkSession, sf: str) -> DataFrame:
 
 def chunk_words(spark: SparkSession, sf: str) -> DataFrame:
     chunks = text.chunk_words(F.col("text"), 500)
-    return _documents(spark, sf).select("doc_id", F.posexplode(chunks).alias("pos", "chunk"))
+    return _documents(spark, sf, heavy=True).select("doc_id", F.posexplode(chunks).alias("pos", "chunk"))
 
 
 def chunk_capped(spark: SparkSession, sf: str) -> DataFrame:
     chunks = text.cap_chunks(text.chunk_words(F.col("text"), 1800), 10)
-    return _documents(spark, sf).select("doc_id", F.posexplode(chunks).alias("pos", "chunk"))
+    return _documents(spark, sf, heavy=True).select("doc_id", F.posexplode(chunks).alias("pos", "chunk"))
 
 
 def topic_id(spark: SparkSession, sf: str) -> DataFrame:
@@ -451,7 +453,7 @@ def payload_validate(spark: SparkSession, sf: str) -> DataFrame:
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
     """Articles with an answer text, for labelled documents; others have none."""
-    docs = _documents(spark, sf)
+    docs = _documents(spark, sf, heavy=True)
     dated = docs.withColumn(
         "published_date",
         F.expr("case when doc_id % 11 <> 0 then timestampadd(HOUR, (doc_id * 37) % 1000,"
@@ -633,7 +635,7 @@ def embedding_neighbors(spark: SparkSession, sf: str) -> DataFrame:
 
 def commercial_flag(spark: SparkSession, sf: str) -> DataFrame:
     ad = F.expr("concat(title, ' ', text, if(doc_id % 4 = 0, ' Promotion : 20 € jusqu''au 3 mai', ''), if(doc_id % 6 = 0, ' VPN', ''))")
-    flagged = _documents(spark, sf).select("doc_id", E.commercial_hits(ad).alias("hits"))
+    flagged = _documents(spark, sf, heavy=True).select("doc_id", E.commercial_hits(ad).alias("hits"))
     return flagged.select(
         "doc_id", F.array_join("hits", "|").alias("hits"), E.is_commercial(F.col("hits")).alias("is_commercial")
     )
@@ -662,7 +664,7 @@ def prompt_build(spark: SparkSession, sf: str) -> DataFrame:
 
 def prompt_budget(spark: SparkSession, sf: str) -> DataFrame:
     history = E.recent_titles(_ledger(spark, sf), 20).scalar()
-    prompts = _documents(spark, sf).select(
+    prompts = _documents(spark, sf, heavy=True).select(
         "source", E.build_prompt(F.col("title"), F.col("text"), history).alias("prompt")
     )
     return E.prompt_budget(prompts, "source")
@@ -696,7 +698,7 @@ def tag_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 def enrich(spark: SparkSession, sf: str) -> DataFrame:
     """The pluggable scorer over every document, with columns computed without joins."""
-    ready = _documents(spark, sf).select(
+    ready = _documents(spark, sf, heavy=True).select(
         "link",
         (F.col("doc_id") % 2 == 0).alias("is_double"),
         F.expr("if(doc_id % 2 = 0, title, null)").alias("similar_article"),

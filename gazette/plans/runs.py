@@ -36,7 +36,7 @@ def assemble_article(articles: DataFrame, history: DataFrame, settings: Settings
     history ids come before article ids."""
     cleaned = stage(
         articles.withColumn("text", clean_content(F.col("content"))), "articles"
-    )
+    ).df
     titles = cleaned.select("id", "title").unionByName(history.select("id", "title"))
     matches = similar_titles(titles, settings.min_title_jaccard)
     flags = duplicate_flags(titles, matches).drop("title")
@@ -61,7 +61,7 @@ def article_pipeline(
     scorer: E.Scorer = E.criteria_scorer,
 ) -> DataFrame:
     """Cleaned and scored articles with the analysis flattened next to them."""
-    assembled = stage(assemble_article(articles, history, settings), "assembled")
+    assembled = stage(assemble_article(articles, history, settings), "assembled").df
     scored = E.enrich(assembled, scorer)
     keep = [c for c in articles.columns if c != "content"] + ["text", "commercial_hits"]
     return assembled.select(*keep).join(scored, "link")
@@ -98,13 +98,13 @@ def run_intake(
             (top + 1 + F.monotonically_increasing_id()).alias("id"),
         ),
         "chosen",
-    )
+    ).df
     history = before.select(F.col("ingest_ord").alias("id"), "title")
     scored = article_pipeline(articles, history, settings, scorer)
     answered = stage(
         articles.join(scored.select("link", F.col("answer").alias("analysis")), "link"), "scored"
-    )
-    records = stage(R.page_record(answered, settings), "records")
+    ).df
+    records = stage(R.page_record(answered, settings), "records").df
     if deliver is None:
         outcome = records.select("link", F.lit(200).alias("status"), F.md5("link").alias("page_id"))
     else:
@@ -114,7 +114,7 @@ def run_intake(
         R.ledger_rows(answered.join(outcome, "link"), run_ts).drop("ingest_ord")
         .join(articles.select(F.col("link").alias("url"), F.col("id").alias("ingest_ord")), "url"),
         "rows",
-    )
+    ).df
     store.append(rows, run)
     apply_retention(before.unionByName(rows.select(*before.columns)), store, run, settings)
     return records
@@ -123,7 +123,7 @@ def run_intake(
 def apply_retention(ledger: DataFrame, store: LedgerStore, run: int, settings: Settings) -> DataFrame:
     """Trim the ledger including this run's rows; returns the remote pages to archive."""
     kept, removed = N.retain(ledger, settings.auto_clean_threshold, settings.clean_remove_count)
-    archive = stage(N.archive_set(removed), "archive")
+    archive = stage(N.archive_set(removed), "archive").df
     if not removed.isEmpty():
         store.replace(kept, run)
     return archive
@@ -138,7 +138,7 @@ def run_purge(
     """
     run = store.next_run()
     ledger = store.read(before=run)
-    joined = stage(listing.join(outcomes, "page_id", "left"), "outcomes")
-    report = stage(N.purge_report(joined, ledger, logs), "report")
+    joined = stage(listing.join(outcomes, "page_id", "left"), "outcomes").df
+    report = stage(N.purge_report(joined, ledger, logs), "report").df
     store.replace(N.remove_by_url(ledger, joined.where("status = 200")), run)
     return report

@@ -148,7 +148,6 @@ def rss_entries(documents: DataFrame) -> DataFrame:
         F.transform(F.col("_doc.entry"), _from_entry),
     )
     rows = parsed.select("feed_url", "fetched_at", F.posexplode(entries).alias("pos", "e"))
-    dates = [F.get("e.dates", F.lit(i)) for i in range(5)]
     # the flag only follows feeds of the site whose enclosure wins over the page image
     from_site = F.col("feed_url").contains(ENCLOSURE_SITE)
     image = enclosure_image(F.col("e.enclosures"))
@@ -160,7 +159,7 @@ def rss_entries(documents: DataFrame) -> DataFrame:
         "e.link",
         "e.summary",
         "e.content",
-        first_feed_date(*dates).alias("published_date"),
+        first_feed_date(F.col("e.dates")).alias("published_date"),
         image.alias("image_url"),
         F.coalesce(from_site & (image != ""), F.lit(False)).alias("is_site_enclosure"),
         "e.enclosures",
