@@ -18,6 +18,10 @@ HOT_SHARE = 100_000
 HOT_ROWS = 200_000
 
 
+#: Folder of each local session that runs without ``spark.checkpoint.dir``.
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def work_folder(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
@@ -27,12 +31,12 @@ def work_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    master = spark.conf.get("spark.master", "")
-    if not master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="gazette-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="gazette-")
+    return _LOCAL_FOLDERS[app]
 
 
 def new_folder(spark: SparkSession, label: str) -> str:

@@ -72,14 +72,10 @@ def stream_feed_documents(
 
 def read_feed_files(spark: SparkSession, path: str) -> DataFrame:
     """Raw XML files below ``feed_url=<encoded URL>/`` folders, one document per file."""
-    return (
-        spark.read.option("wholetext", True)
-        .text(path)
-        .select(
-            F.url_decode("feed_url").alias("feed_url"),
-            F.col("_metadata.file_modification_time").alias("fetched_at"),
-            F.col("value").alias("body"),
-        )
+    return spark.read.text(path, wholetext=True).select(
+        "feed_url",
+        F.col("_metadata.file_modification_time").alias("fetched_at"),
+        F.col("value").alias("body"),
     )
 
 

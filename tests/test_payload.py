@@ -1,0 +1,32 @@
+from gazette.functions import payload as P
+
+GOOD = '{"isDouble": true, "similarArticle": "a", "similarityReason": null, "isCommercial": false, "significanceScore": 7.5, "summary": "s", "tags": ["Tag"]}'
+RAW = [GOOD, f"```json\n{GOOD}\n```", "texte", "[1]", '{"significanceScore": "haut", "summary": "s"}', "{}", None, "",
+       '{"significanceScore": 11, "summary": "", "tags": ["tag", "b"]}', '{"significanceScore": null}', "{'summary': 's'}"]
+
+
+def test_parse_ok(evaluate):
+    got = evaluate(P.parse_analysis, RAW)
+    assert [g["parse_ok"] for g in got] == [True, True, False, False, False, True, False, False, True, True, False]
+    assert got[1]["tags"] == ["Tag"] and got[1]["significanceScore"] == 7.5 and got[1]["isDouble"]
+    assert got[4]["summary"] == "s"
+
+
+def test_ledger_keeps_an_empty_object_on_failure(evaluate):
+    got = evaluate(lambda c: P.ledger_analysis(P.parse_analysis(c)), RAW)
+    assert all(g is not None for g in got)
+    assert [g["summary"] for g in got] == ["s", "s", None, None, None, None, None, None, "", None, None]
+
+
+def test_defaults(evaluate):
+    got = evaluate(lambda c: P.analysis_defaults(P.parse_analysis(c), c), RAW)
+    assert [g["significanceScore"] for g in got] == [7.5, 7.5, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 11.0, 0.0, 0.0]
+    assert [g["summary"] for g in got] == ["s", "s", "texte", "[1]", RAW[4], "", "", "", "", "", RAW[10]]
+    assert got[2]["tags"] == [] and got[2]["isCommercial"] is False and got[2]["isDouble"] is False
+
+
+def test_problems(evaluate):
+    got = evaluate(lambda c: P.payload_problems(P.parse_analysis(c)), RAW)
+    assert got[0] == [] and got[1] == []
+    assert got[2] == ["unparsed", "score_missing", "summary_missing", "tag_count"]
+    assert got[8] == ["score_range", "summary_missing", "tag_count", "tag_capital"]

@@ -1,0 +1,87 @@
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from gazette.common import new_folder
+from gazette.plans import runs
+from gazette.schemas import FEED_DOCUMENT, Settings
+from gazette.sources import feeds
+from gazette.sources.ledger import LedgerStore
+
+RUN = dt.datetime(2024, 6, 1)
+
+
+def feed(items):
+    body = "".join(
+        f"<item><title>{t}</title><link>{l}</link><description>{s}</description><pubDate>{d}</pubDate></item>"
+        for t, l, s, d in items
+    )
+    return f"<rss><channel>{body}</channel></rss>"
+
+
+def intake(spark, store, documents, settings, **more):
+    registry = feeds.feed_registry(spark, [("u1", "Un"), ("u2", "Deux"), ("u3", "Vide")])
+    entries = feeds.rss_entries(spark.createDataFrame(documents, FEED_DOCUMENT))
+    pages = spark.createDataFrame(
+        [("l1", "<article>Texte complet. Promotion : 20 €</article><img src='/a.png'>"), ("l2", None)], "url string, html string"
+    )
+    return runs.run_intake(spark, entries, registry, pages, store, RUN, settings, **more)
+
+
+FIRST = [
+    ("u1", None, feed([("Le grand test de la console", "l1", "s1", "2024-01-05"), ("Autre sujet", "l2", "résumé deux", "2024-01-03"),
+                       ("trop loin", "l9", "s", "2024-01-01")])),
+    ("u2", None, feed([("Copie du lien", "l1", "s1", ""), ("Sans date", "l3", "résumé trois", "")])),
+    ("unknown", None, feed([("x", "l8", "s", "")])),
+]
+SECOND = [("u1", None, feed([("Le grand test de la console", "l4", "s", "2024-02-01"), ("Autre sujet", "l2", "s", "")]))]
+
+
+def test_intake_then_retention_then_purge(spark):
+    store = LedgerStore(spark, new_folder(spark, "ledger"))
+    settings = Settings(max_articles_per_feed=2, auto_clean_threshold=3, clean_remove_count=2)
+    records = intake(spark, store, FIRST, settings)
+    got = {r["link"]: r["record"]["properties"] for r in records.collect()}
+    assert sorted(got) == ["l1", "l2", "l3"]
+    assert got["l1"]["Contenu"]["rich_text"][0]["text"]["content"] == "Texte complet. Promotion : 20 €"
+    assert got["l1"]["Commercial"]["checkbox"] and got["l1"]["Flux"]["multi_select"][0]["name"] == "Un"
+    assert got["l2"]["Contenu"]["rich_text"][0]["text"]["content"] == "résumé deux"
+    assert not any(p["Double"]["checkbox"] for p in got.values())
+    ledger = {r["url"]: r for r in store.read().collect()}
+    assert sorted(ledger) == ["l1", "l2", "l3"] and ledger["l1"]["analysis"]["isCommercial"]
+    assert len({r["ingest_ord"] for r in ledger.values()}) == 3
+
+    # same run again: same ledger
+    intake(spark, store, FIRST, settings, run=0)
+    assert sorted(r["url"] for r in store.read().collect()) == ["l1", "l2", "l3"]
+
+    records = intake(spark, store, SECOND, settings)
+    double = records.select("record.properties.*").first()
+    assert records.count() == 1 and double["Double"]["checkbox"] and double["Score"]["number"] == 0.0
+    # four rows exceed the threshold: the one without date and the oldest one go
+    assert sorted(r["url"] for r in store.read().collect()) == ["l1", "l4"]
+
+    listing = spark.createDataFrame([("p1", "l1", "t"), (None, "l4", "t"), ("p3", None, "t")], "page_id string, url string, title string")
+    outcomes = spark.createDataFrame([("p1", 200), ("p3", 500)], "page_id string, status int")
+    report = runs.run_purge(listing, outcomes, store, spark.createDataFrame([], "log_date string")).first()
+    assert (report["total_pages"], report["archived_pages"], report["errors"], report["ledger_removed"]) == (3, 1, 2, 1)
+    assert [r["url"] for r in store.read().collect()] == ["l4"]
+
+
+def test_only_delivered_articles_reach_the_ledger(spark):
+    store = LedgerStore(spark, new_folder(spark, "ledger"))
+
+    def deliver(records):
+        return records.select("link", F.when(F.col("link") == "l1", 200).otherwise(503).alias("status"), F.lit("id").alias("page_id"))
+
+    intake(spark, store, FIRST, Settings(max_articles_per_feed=2), deliver=deliver)
+    assert [(r["url"], r["page_id"]) for r in store.read().collect()] == [("l1", "id")]
+
+
+def test_selection_runs_before_text_and_python(spark, plan_of):
+    """Limit, dedup and ledger filter sit below everything else in the plan."""
+    entries = spark.createDataFrame([], "feed_url string, pos int, link string, title string, summary string")
+    registry = feeds.feed_registry(spark)
+    ledger = spark.createDataFrame([], "url string")
+    plan = plan_of(runs.select_articles(entries, registry, ledger, Settings()))
+    assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan
