@@ -224,16 +224,14 @@ def minhash_bands(bands: int = 8, rows: int = 4) -> str:
     return "[" + ", ".join(keys) + "]"
 
 
-def order_bands(tables: int = 8, bits: int = 4, size: int = 64) -> str:
+def order_bands(tables: int = 8, most: int = 24, size: int = 64) -> str:
     keys = []
     for table in range(tables):
-        parts = [f"'{table}:'"]
-        for bit in range(bits):
-            at = table * bits + bit
-            parts.append(
-                f"case when embedding[{(at * 7 + 3) % size + 1}] > embedding[{(at * 13 + 8) % size + 1}] then '1' else '0' end"
-            )
-        keys.append(" || ".join(parts))
+        signs = " || ".join(
+            f"case when embedding[{(at * 7 + 3) % size + 1}] > embedding[{(at * 13 + 8) % size + 1}] then '1' else '0' end"
+            for at in range(table * most, table * most + most)
+        )
+        keys.append(f"'{table}:' || substr({signs}, 1, bits)")
     return "[" + ", ".join(keys) + "]"
 
 
@@ -434,7 +432,8 @@ ORACLES: dict[str, str] = {
         from p join s x on x.id = p.id join s y on y.id = other)
       select id, min(other) as match_id, round(arg_min(i / (nx + ny - i), other), 6) as similarity
       from j where i / (nx + ny - i) >= 0.7 group by id""",
-    "embedding_neighbors": f"""with k as (select vec_id as id, unnest({order_bands()}) as key from embeddings),
+    "embedding_neighbors": f"""with b as (select greatest(4, ceil(log2(count(*) / 32.0)))::int as bits from embeddings),
+      k as (select vec_id as id, unnest({order_bands()}) as key from embeddings, b),
       p as (select distinct a.id, b.id as other from k a join k b on a.key = b.key and b.id < a.id),
       c as (select p.id, other, list_cosine_similarity(x.embedding::double[], y.embedding::double[]) as c
         from p join embeddings x on x.vec_id = p.id join embeddings y on y.vec_id = other)

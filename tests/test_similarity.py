@@ -67,7 +67,7 @@ def test_leader_miss_goes_on_to_later_members(spark):
     sets = [(0, {1, 2}), (1, {3, 4, 5, 6}), (2, {3, 4, 5, 7}), (3, {3, 4, 5, 6, 7}), (4, {9})]
     features = stage(spark.createDataFrame([(i, sorted(s)) for i, s in sets], "id long, feature array<long>"), "f")
     keyed = stage(features.df.select(F.lit(1).alias("key"), "id"), "k")
-    compare(M.earliest_match(keyed, features, M.jaccard, 0.5), earliest(sets, 0.5))
+    compare(M.earliest_match(keyed, features.df, M.jaccard, 0.5), earliest(sets, 0.5))
 
 
 def test_flags_name_the_original(spark):
@@ -108,7 +108,7 @@ def test_near_duplicates_are_exact_and_mostly_found(spark):
 
 
 def test_short_texts_are_one_shingle(evaluate):
-    got = evaluate(M.shingles, ["A b c d", "a b", "a", "", "a a a a"])
+    got = evaluate(lambda c: M.shingles(words(c)), ["A b c d", "a b", "a", "", "a a a a"])
     assert [sorted(g) for g in got] == [["a b c", "b c d"], ["a b"], ["a"], [""], ["a a a"]]
 
 
