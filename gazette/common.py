@@ -72,24 +72,29 @@ def skew_join(
     dim: DataFrame,
     key: str,
     spread: str,
-    rows: int,
+    rows: int | None = None,
     load: DataFrame | None = None,
+    how: str = "inner",
     hot_rows: int | None = None,
 ) -> DataFrame:
-    """Inner equi-join on ``key`` where a single key may hold a large part of ``facts``.
+    """Equi-join on ``key`` where a single key may hold a large part of ``facts``.
 
-    ``rows`` bounds the rows of ``facts``. Unless it exceeds ``hot_rows`` no key can be
-    heavy and a plain join does. Otherwise rows per key are counted with map-side
+    ``rows`` bounds the rows of ``facts`` where that is known: up to ``hot_rows`` no key
+    can be heavy and a plain join does. Otherwise rows per key are counted with map-side
     combine (or given as ``load``: key, rows), the rows of a hot key are spread over
     salts by the hash of column ``spread``, and the matching rows of ``dim`` are repeated
-    once per salt; every other key stays at salt 0.
+    once per salt; every other key stays at salt 0. ``how`` is inner or left.
     """
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
-    if rows <= hot_rows:
-        return facts.join(dim, key)
+    if rows is not None and rows <= hot_rows:
+        return facts.join(dim, key, how)
     if load is None:
         load = facts.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
-    per_salt = max(hot_rows, rows // HOT_SHARE)
+    if rows is None:
+        total = F.coalesce(load.agg(F.sum("rows")).scalar(), F.lit(0))
+        per_salt = F.greatest(F.lit(float(hot_rows)), total / float(HOT_SHARE))
+    else:
+        per_salt = F.lit(float(max(hot_rows, rows // HOT_SHARE)))
     hot = load.withColumn("_copies", F.ceil(F.col("rows") / per_salt)).where("_copies > 1")
     # at most HOT_SHARE keys can hold more than per_salt rows, so this broadcast is bounded
     hot = F.broadcast(hot.select(key, "_copies"))
@@ -97,7 +102,7 @@ def skew_join(
     salts = F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)).cast("int") - 1)
     salted = facts.join(hot, key, "left").withColumn("_salt", salt).drop("_copies")
     repeated = dim.join(hot, key, "left").withColumn("_salt", F.explode(salts)).drop("_copies")
-    return salted.join(repeated, [key, "_salt"]).drop("_salt")
+    return salted.join(repeated, [key, "_salt"], how).drop("_salt")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

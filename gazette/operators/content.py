@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gazette.common import blank_to_null
+from gazette.common import blank_to_null, skew_join
 from gazette.functions.html import article_text, main_image, scan_page
 from gazette.functions.text import clean_title
 from gazette.functions.urls import (
@@ -71,33 +71,40 @@ def entry_image(entries: DataFrame, cache: DataFrame, scraped: DataFrame) -> Dat
 
 
 def rewrite_image(
-    articles: DataFrame, rewrites: DataFrame, sources: tuple[str, ...] = ("JVC",)
+    articles: DataFrame,
+    rewrites: DataFrame,
+    sources: tuple[str, ...] = ("JVC",),
+    spread: str = "link",
 ) -> DataFrame:
     """Replace pictures of some sources by their re-hosted URL (image_url, new_url).
 
-    Only rows of those sources take part in the lookup; an unknown picture stays, an empty
-    one is null.
+    An unknown picture stays, an empty one is null. Rows that take no part get a key of
+    their own, so that they do not all meet under one null key, and one picture used by
+    very many articles is salted by column ``spread``.
     """
-    key = F.when(F.col("source").isin(*sources), F.col("image_url"))
+    takes_part = F.col("source").isin(*sources) & F.col("image_url").isNotNull()
+    apart = F.concat(F.lit("-"), F.xxhash64(spread).cast("string"))
+    keyed = articles.withColumn("_key", F.when(takes_part, F.col("image_url")).otherwise(apart))
     lookup = rewrites.select(F.col("image_url").alias("_key"), "new_url")
-    joined = articles.withColumn("_key", key).join(lookup, "_key", "left")
+    joined = skew_join(keyed, lookup, "_key", spread=spread, how="left")
     return joined.withColumn(
         "image_url", F.coalesce("new_url", blank_to_null(F.col("image_url")))
-    ).drop("_key", "new_url")
+    ).select(*articles.columns)
 
 
 def override_image(
-    articles: DataFrame, entries: DataFrame, site: str = ENCLOSURE_SITE
+    articles: DataFrame, entries: DataFrame, site: str = ENCLOSURE_SITE, spread: str = "image_url"
 ) -> DataFrame:
     """On one site the enclosure picture of the first matching entry replaces the page's.
 
-    The entry side is reduced to one row per link before the join.
+    The entry side is reduced to one row per link before the join; articles that share a
+    URL are salted by column ``spread``.
     """
     flagged = entries.where("is_site_enclosure").where(F.col("link").contains(site))
     first = flagged.groupBy(F.col("link").alias("url")).agg(
         F.min_by("image_url", "pos").alias("enclosure_image")
     )
-    joined = articles.join(first, "url", "left")
-    return joined.withColumn("image_url", F.coalesce("enclosure_image", "image_url")).drop(
-        "enclosure_image"
+    joined = skew_join(articles, first, "url", spread=spread, how="left")
+    return joined.withColumn("image_url", F.coalesce("enclosure_image", "image_url")).select(
+        *articles.columns
     )

@@ -133,3 +133,17 @@ def sparse_json(ledger: DataFrame) -> Column:
         F.col("page_id").alias("notion_id"),
     ]
     return F.to_json(F.struct(*shown))
+
+
+def flat_ledger(ledger: DataFrame) -> DataFrame:
+    """The ledger with the duplicate verdict next to the analysis."""
+    return ledger.select(
+        "url",
+        "title",
+        "content",
+        F.col("processed_at").alias("date"),
+        "analysis",
+        F.coalesce("analysis.isDouble", F.lit(False)).alias("isDouble"),
+        "analysis.similarArticle",
+        "analysis.similarityReason",
+    )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from gazette.common import micros
+from gazette.common import micros, skew_join
 
 #: Up to this many rows a top-n plan beats the counting plan.
 TOP_N_ROWS = 10_000
@@ -103,8 +103,10 @@ def retention_report(ledger: DataFrame, threshold: int, n: int) -> DataFrame:
 
 def remove_by_url(ledger: DataFrame, archived: DataFrame) -> DataFrame:
     """Ledger rows whose URL is not among the archived pages; null URLs remove nothing."""
-    urls = archived.select("url").where(F.col("url").isNotNull() & (F.col("url") != "")).distinct()
-    return ledger.join(urls, "url", "left_anti").select(*ledger.columns)
+    urls = archived.select("url").where(F.col("url").isNotNull() & (F.col("url") != ""))
+    marked = urls.distinct().withColumn("_archived", F.lit(True))
+    joined = skew_join(ledger, marked, "url", spread="ingest_ord", how="left")
+    return joined.where(F.col("_archived").isNull()).select(*ledger.columns)
 
 
 def purge_report(outcomes: DataFrame, ledger: DataFrame, logs: DataFrame) -> DataFrame:
@@ -123,7 +125,11 @@ def purge_report(outcomes: DataFrame, ledger: DataFrame, logs: DataFrame) -> Dat
         F.count_if(~archived).alias("errors"),
     )
     urls = outcomes.where(archived).select("url").where("url is not null").distinct()
-    gone = ledger.join(urls, "url", "left_semi").agg(F.count(F.lit(1)).alias("ledger_removed"))
+    # counted per URL first, so a URL with very many rows is one row in the join
+    held = ledger.groupBy("url").agg(F.count(F.lit(1)).alias("rows"))
+    gone = held.join(urls, "url", "left_semi").agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("ledger_removed")
+    )
     days = logs.agg(F.count_distinct("log_date").alias("logs_removed"))
     # three one-row tables
     return pages.join(gone, F.lit(True)).join(days, F.lit(True))

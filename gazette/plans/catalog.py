@@ -299,7 +299,7 @@ def image_override(spark: SparkSession, sf: str) -> DataFrame:
         "concat('https://h/enclosure/', doc_id) as image_url",
         "doc_id % 4 <> 1 as is_site_enclosure",
     )
-    return C.override_image(articles, entries).select("doc_id", "image_url")
+    return C.override_image(articles, entries, spread="doc_id").select("doc_id", "image_url")
 
 
 # --- page content ----------------------------------------------------------------------

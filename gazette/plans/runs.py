@@ -38,13 +38,12 @@ def assemble_article(articles: DataFrame, history: DataFrame, settings: Settings
         articles.withColumn("text", clean_content(F.col("content"))), "articles"
     ).df
     titles = cleaned.select("id", "title").unionByName(history.select("id", "title"))
-    matches = similar_titles(titles, settings.min_title_jaccard)
-    flags = duplicate_flags(titles, matches).drop("title")
+    first_new = cleaned.agg(F.min("id")).first()[0]
+    matches = similar_titles(titles, settings.min_title_jaccard, since=first_new)
+    flagged = duplicate_flags(cleaned, matches, titles)
     summary = E.lead_summary(cleaned.select("id", "text"))
     tag = E.top_tag(cleaned.select("id", "text"))
-    joined = (
-        cleaned.join(flags, "id", "left").join(summary, "id", "left").join(tag, "id", "left")
-    )
+    joined = flagged.join(summary, "id", "left").join(tag, "id", "left")
     hits = E.commercial_hits(F.concat_ws(" ", "title", "text"))
     return joined.withColumn("commercial_hits", hits).withColumns(
         {

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from gazette.common import new_folder
@@ -58,9 +58,9 @@ def ledger_batches(store: LedgerStore, settings: Settings, run_ts: datetime.date
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():  # a batch that only moves the watermark is not a run
-            return
         before = store.read(before=batch_id)
+        arrived = Observation()
+        batch = batch.observe(arrived, F.count(F.lit(1)).alias("rows"))
         unknown = batch.join(before.select(F.col("url").alias("link")), "link", "left_anti")
         top = F.coalesce(before.agg(F.max("ingest_ord")).scalar(), F.lit(-1))
         null = F.lit(None)
@@ -82,6 +82,8 @@ def ledger_batches(store: LedgerStore, settings: Settings, run_ts: datetime.date
              else top + 1 + F.monotonically_increasing_id()).alias("ingest_ord"),
         )
         store.append(rows, batch_id)
+        if not arrived.get["rows"]:  # a batch that only moves the watermark is not a run
+            return
         written = store.spark.read.schema(before.schema).parquet(f"{store.path}/delta/run={batch_id}")
         kept, removed = N.retain(
             before.unionByName(written), settings.auto_clean_threshold, settings.clean_remove_count

@@ -107,7 +107,8 @@ def test_entry_image_preference(spark):
 
 def test_rewrite_and_override(spark):
     articles = spark.createDataFrame(
-        [("JVC", "a"), ("JVC", "b"), ("X", "a"), ("JVC", ""), ("JVC", None)], "source string, image_url string"
+        [("JVC", "a", "1"), ("JVC", "b", "2"), ("X", "a", "3"), ("JVC", "", "4"), ("JVC", None, "5")],
+        "source string, image_url string, link string",
     )
     rewrites = spark.createDataFrame([("a", "new")], "image_url string, new_url string")
     got = sorted((r["source"], r["image_url"] or "-") for r in rewrite_image(articles, rewrites).collect())

@@ -62,6 +62,13 @@ def test_titles_equal_all_pairs(spark, monkeypatch, threshold, hot_rows):
     compare(M.similar_titles(frame, threshold), expected)
 
 
+def test_history_is_compared_with_but_not_answered(spark):
+    data = titles(11, 200)
+    frame = spark.createDataFrame(data, "id long, title string")
+    expected = earliest([(i, set(t.lower().split())) for i, t in data], 0.6)
+    compare(M.similar_titles(frame, 0.6, since=150), {i: m for i, m in expected.items() if i >= 150})
+
+
 def test_leader_miss_goes_on_to_later_members(spark):
     """Keys shared by all: the leader is similar to nobody, so every pair must be tried."""
     sets = [(0, {1, 2}), (1, {3, 4, 5, 6}), (2, {3, 4, 5, 7}), (3, {3, 4, 5, 6, 7}), (4, {9})]
