@@ -73,7 +73,7 @@ def test_leader_miss_goes_on_to_later_members(spark):
     """Keys shared by all: the leader is similar to nobody, so every pair must be tried."""
     sets = [(0, {1, 2}), (1, {3, 4, 5, 6}), (2, {3, 4, 5, 7}), (3, {3, 4, 5, 6, 7}), (4, {9})]
     features = stage(spark.createDataFrame([(i, sorted(s)) for i, s in sets], "id long, feature array<long>"), "f")
-    keyed = stage(features.df.select(F.lit(1).alias("key"), "id"), "k")
+    keyed = stage(features.df.select(F.lit(1).alias("key"), F.lit(1).alias("seeks"), "id"), "k")
     compare(M.earliest_match(keyed, features.df, M.jaccard, 0.5), earliest(sets, 0.5))
 
 
