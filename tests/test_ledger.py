@@ -30,6 +30,8 @@ def test_legacy_files(spark):
     got = {r["url"]: r for r in L.upgrade_ledger(files).collect()}
     assert sorted(got) == ["a", "b", "c", "d", "e"]
     assert got["a"]["analysis"]["tags"] == ["x"] and got["a"]["published_date"] == dt.datetime(2024, 1, 2, 3, 4, 5)
+    assert got["a"]["ingest_ord"] < got["b"]["ingest_ord"]
+    assert set(LEDGER.names) == set(got["a"].asDict())
     assert got["a"]["page_id"] == "n" and got["e"]["source"] == "s" and got["b"]["title"] is None
 
 
