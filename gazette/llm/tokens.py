@@ -63,9 +63,15 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[ends[0] : ends[-1]], ends - ends[0]
 
 
-def spans(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Everything but ASCII letters, digits and the bytes of other scripts.
+SIGNS = np.ones(256, dtype=bool)
+SIGNS[128:] = False
+SIGNS[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
+
+
+def spans(data: np.ndarray, ends: np.ndarray, blank: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First and last-plus-one byte of each word, and the number of words before each text."""
-    solid = ~_BLANK[data]
+    solid = ~blank[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     last = solid.copy()
@@ -86,14 +92,14 @@ def _groups(ends: np.ndarray) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
-def hashed(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def hashed(texts: pa.Array, lower: bool = True, blank: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word in order, and the number of words before each text (one more than texts)."""
     data, ends = raw(texts)
     out, counts = [], [np.zeros(1, np.int64)]
     total = 0
     for i, j in _groups(ends):
         own, at = data[ends[i] : ends[j]], ends[i : j + 1] - ends[i]
-        starts, stops, before = spans(own, at)
+        starts, stops, before = spans(own, at, blank)
         part = _LOWER[own] if lower else own
         sums = np.zeros(len(part) + 1, U64)
         np.cumsum(_VALUES[part] * _power(_BASE, len(part) + 1)[: len(part)], out=sums[1:])
