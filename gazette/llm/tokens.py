@@ -122,6 +122,16 @@ def chained(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def shingles(h: np.ndarray, k: int = 5) -> np.ndarray:
-    """Distinct sorted hashes of the runs of ``k`` words; fewer words make one run; none, none."""
-    return np.unique(chained(h, min(k, len(h)))) if len(h) else np.zeros(0, U64)
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values of a short array."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
+def shingles(texts: pa.Array, k: int = 5, at_once: int = 1024) -> Iterator[np.ndarray]:
+    """Sorted distinct hashes of each text's runs of ``k`` words; fewer words make one run; none, none."""
+    for i in range(0, len(texts), at_once):
+        h, at = hashed(texts.slice(i, at_once))
+        runs = chained(h, k)
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+            yield distinct(runs[a : b - k + 1] if b - a >= k else chained(h[a:b], b - a) if b > a else h[:0])
