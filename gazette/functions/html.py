@@ -145,7 +145,7 @@ class _PageScan(HTMLParser):
         main = " ".join(self.place_text[min(self.place_text)]) if self.place_text else None
         placed = next((self.placed[p] for p in sorted(self.placed) if self.placed[p]), None)
         # the whole-page text only matters when the article text can clean to nothing
-        keep_page = not main or any(first in main for first, _ in CONSENT_BANNERS)
+        keep_page = not main or "<" in main or any(first in main for first, _ in CONSENT_BANNERS)
         page = "".join(self.page) if keep_page else None
         return main, page, self.site_image, placed, self.images
 

@@ -27,7 +27,8 @@ def parse_analysis(c: Column) -> Column:
     """Struct of the payload fields plus ``parse_ok``.
 
     ``parse_ok`` is false for null text, text that is not JSON, JSON that is not an
-    object and fields of the wrong type (the other fields of such a row survive).
+    object, anything before or after the object and fields of the wrong type (the other
+    fields of such a row survive).
     """
     parsed = F.from_json(
         strip_fences(c),
@@ -38,7 +39,9 @@ def parse_analysis(c: Column) -> Column:
             "allowSingleQuotes": "false",
         },
     )
-    ok = F.coalesce(parsed.isNotNull() & parsed[_BROKEN].isNull() & (F.btrim(c) != ""), F.lit(False))
+    # the parser stops after the first object; as a list, only a single object has length 1
+    alone = F.json_array_length(F.concat(F.lit("["), strip_fences(c), F.lit("]"))) == 1
+    ok = F.coalesce(parsed.isNotNull() & alone & parsed[_BROKEN].isNull() & (F.btrim(c) != ""), F.lit(False))
     fields = [parsed[name].alias(name) for name in ANALYSIS.names]
     return F.struct(*fields, ok.alias("parse_ok"))
 

@@ -28,11 +28,15 @@ def article_content(pages: DataFrame) -> DataFrame:
 
 
 def attach_content(entries: DataFrame, content: DataFrame) -> DataFrame:
-    """Entries with the fetched text (the feed summary when there is none) and page picture."""
-    fetched = content.select(
-        F.col("url").alias("link"),
-        F.col("content").alias("page_content"),
-        F.col("image_url").alias("page_image"),
+    """Entries with the fetched text (the feed summary when there is none) and page picture.
+
+    Several pages of one URL count as one, so that no entry is multiplied: a page with text
+    comes before one without, then the larger text.
+    """
+    page = F.struct(blank_to_null(F.col("content")).alias("content"), "image_url")
+    one = content.groupBy(F.col("url").alias("link")).agg(F.max(page).alias("page"))
+    fetched = one.select(
+        "link", F.col("page.content").alias("page_content"), F.col("page.image_url").alias("page_image")
     )
     joined = entries.join(fetched, "link", "left")
     return joined.withColumn(

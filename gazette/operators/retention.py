@@ -116,7 +116,7 @@ def purge_report(outcomes: DataFrame, ledger: DataFrame, logs: DataFrame) -> Dat
     interaction log, whose days count as files.
     """
     valid = F.col("page_id").isNotNull()
-    archived = valid & (F.col("status") == 200)
+    archived = valid & F.coalesce(F.col("status") == 200, F.lit(False))
     pages = outcomes.agg(
         F.count(F.lit(1)).alias("total_pages"),
         F.count_if(archived).alias("archived_pages"),

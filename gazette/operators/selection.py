@@ -8,13 +8,20 @@ from pyspark.sql import Window as W
 
 
 def first_k_per_feed(entries: DataFrame, k: int) -> DataFrame:
-    """The first ``k`` entries of every feed in document order.
+    """The first ``k`` entries of every feed in document order, of its newest snapshot.
+
+    Entries without ``fetched_at`` are one snapshot per feed.
 
     The rank filter is pushed below the shuffle (WindowGroupLimit), so each task sends
     at most ``k`` rows per feed however large one feed is.
     """
     if k < 0:
         raise ValueError("k must not be negative")
+    if "fetched_at" in entries.columns:
+        # one row per feed; a feed's newest time meets its rows before they are ranked
+        newest = entries.groupBy(F.col("feed_url").alias("_feed")).agg(F.max("fetched_at").alias("_newest"))
+        same = entries["feed_url"].eqNullSafe(newest["_feed"]) & entries["fetched_at"].eqNullSafe(newest["_newest"])
+        entries = entries.join(newest, same, "left_semi")
     order = W.partitionBy("feed_url").orderBy("pos")
     return (
         entries.withColumn("feed_rank", F.row_number().over(order)).where(F.col("feed_rank") <= k)

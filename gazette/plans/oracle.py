@@ -171,7 +171,7 @@ idf as (select term, round(ln(((select n from total) + 1) / (count(distinct id)
 sscore as (select id, pos, sum(idf) as score from sterm join idf using (term) group by id, pos),
 srank as (select *, row_number() over (partition by id order by score desc, pos) as rn from sscore),
 lead as (select id, string_agg(sentence, ' ' order by pos) as summary from srank join sent using (id, pos) where rn <= 3 group by id),
-tscore as (select id, term, sum(idf) as score from dterm join idf using (term) where length(term) >= 3 group by id, term),
+tscore as (select id, term, sum(idf) as score from dterm join idf using (term) group by id, term),
 trank as (select *, row_number() over (partition by id order by score desc, term) as rn from tscore),
 toptag as (select id, upper(substr(term, 1, 1)) || substr(term, 2) as tag from trank where rn = 1)"""
 

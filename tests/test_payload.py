@@ -30,3 +30,8 @@ def test_problems(evaluate):
     assert got[0] == [] and got[1] == []
     assert got[2] == ["unparsed", "score_missing", "summary_missing", "tag_count"]
     assert got[8] == ["score_range", "summary_missing", "tag_count", "tag_capital"]
+
+
+def test_text_around_the_object_is_rejected(evaluate):
+    raw = ['{"summary":"s"}', '{"summary":"s"} Voici.', '{"summary":"a"} {"summary":"b"}', '{"summary":"a"},{"summary":"b"}']
+    assert evaluate(lambda c: P.parse_analysis(c)["parse_ok"], raw) == [True, False, False, False]

@@ -52,3 +52,9 @@ def test_settings():
     assert Settings.from_mapping({"ENABLE_CHATGPT_LOGS": "True"}).log_interactions
     with pytest.raises(ValueError):
         Settings(max_articles_per_feed=-1)
+
+
+def test_first_k_takes_the_newest_snapshot(spark):
+    rows = [("f", "2024-01-01", 0, "o0"), ("f", "2024-01-01", 1, "o1"), ("f", "2024-01-02", 0, "n0"), ("g", "2024-01-01", 0, "g0")]
+    entries = spark.createDataFrame(rows, "feed_url string, fetched_at string, pos int, link string")
+    assert sorted(r["link"] for r in S.first_k_per_feed(entries, 3).collect()) == ["g0", "n0"]
