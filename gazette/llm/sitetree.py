@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm.tables import table
+from gazette.llm.tables import keep, table
 
 LEAST = 0.3
 FEW = 4
@@ -223,7 +223,8 @@ def main_text(html: str, low: set[int]) -> str:
 def extracted(pages: DataFrame) -> DataFrame:
     """Rows ``page_id, url, text, n_chars`` for every row of ``pages`` (page_id, url, html)."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.regexp_extract("url", r"(?s)^[^:]*://([^/?#]*)", 1).alias("host"), "html")
-    low = importance(counted(rows))
+    # written first, so that its size is known when the join with the pages is planned
+    low = keep(importance(counted(rows)), "styles")
     joined = rows.join(low, rows["host"].eqNullSafe(low["_host"]), "left").select("page_id", "url", "html", "low")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
