@@ -32,6 +32,7 @@ from gazette.llm.tables import keep, table
 
 LANGUAGES = ("de", "en", "es", "fr")
 NONE = "und"
+#: Cells are the upper 16 bits of a trigram's hash.
 CELLS = 1 << 16
 TEMPER = 150
 #: Rows that a level of the prior weighs against the next; weight of a declared language's count.
@@ -39,25 +40,29 @@ STRENGTH = 5.0
 LEAST = 0.5
 
 
-def _cells(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Trigram cell of each byte position of all texts but the last two of each, and where texts begin.
+def _cells(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """First text, trigram cells and where each text's cells begin, for one stretch of about STEP bytes after another.
 
-    Letters count, in lower case; everything else is a blank.
+    Letters count, in lower case; everything else is a blank. A text longer than a stretch comes in several,
+    each of which reads two bytes into the next, so no trigram is lost.
     """
     data, ends = tokens.raw(texts)
-    folded = np.where(_LETTERS[data], tokens._LOWER[data], 32).astype(np.uint32)
-    if len(folded) < 3:
-        return np.zeros(0, np.int64), np.zeros(len(ends), np.int64)
-    code = (folded[:-2] * 0x9E3779B1 + folded[1:-1] * 0x85EBCA77 + folded[2:] * 0xC2B2AE3D) & 0xFFFFFFFF
-    code = (code ^ (code >> 15)) * 0x2C1B3C6D & 0xFFFFFFFF
-    cell = ((code >> 16) & (CELLS - 1)).astype(np.int64)
-    inside = np.ones(len(cell), bool)
-    for back in (1, 2):  # trigrams across two texts
-        cut = ends[1:-1] - back
-        inside[cut[(cut >= 0) & (cut < len(cell))]] = False
-    inside &= ~((folded[:-2] == 32) & (folded[1:-1] == 32))
-    before = np.append(0, np.cumsum(inside))
-    return cell[inside], before[np.clip(ends, 0, len(cell))]
+    for i, j in tokens._groups(ends):
+        for a in range(int(ends[i]), int(ends[j]), tokens.STEP) if j == i + 1 else [int(ends[i])]:
+            b = min(a + tokens.STEP, int(ends[j]))
+            part = data[a : min(b + 2, int(ends[j]))]
+            if len(part) < 3:
+                continue
+            folded = np.where(_LETTERS[part], tokens._LOWER[part], 32).astype(np.uint32)
+            code = folded[:-2] * np.uint32(0x9E3779B1) + folded[1:-1] * np.uint32(0x85EBCA77) + folded[2:] * np.uint32(0xC2B2AE3D)
+            code = (code ^ (code >> 15)) * np.uint32(0x2C1B3C6D)
+            inside = ~((folded[:-2] == 32) & (folded[1:-1] == 32))
+            at = np.clip(ends[i : j + 1] - a, 0, len(code))
+            for back in (1, 2):  # trigrams across two texts
+                cut = ends[i + 1 : j] - a - back
+                inside[cut[(cut >= 0) & (cut < len(code))]] = False
+            before = np.append(0, np.cumsum(inside, dtype=np.int32))
+            yield i, (code[inside] >> 16).astype(np.int32), before[at]
 
 
 _LETTERS = np.zeros(256, bool)
@@ -72,9 +77,10 @@ def fitted(rows: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((n, CELLS), np.int64)
         for batch in batches:
-            lang = batch.column(0).to_numpy(zero_copy_only=False).astype(int)
-            cell, at = _cells(batch.column(1))
-            np.add(counts, np.bincount(np.repeat(lang, np.diff(at)) * CELLS + cell, minlength=n * CELLS).reshape(n, CELLS), out=counts)
+            lang = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int32)
+            for i, cell, at in _cells(batch.column(1)):
+                own = np.repeat(lang[i : i + len(at) - 1], np.diff(at)) * CELLS + cell
+                counts += np.bincount(own, minlength=n * CELLS).reshape(n, CELLS)
         for i, own in enumerate(counts):
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([own.tobytes()], pa.binary())], names=["lang", "counts"])
 
@@ -100,19 +106,16 @@ def text_evidence(rows: DataFrame, model: np.ndarray) -> DataFrame:
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums, grams = [], []
-            for i in range(0, len(batch), 256):
-                cell, at = _cells(batch.column("text").slice(i, 256))
+            sums, grams = np.zeros((len(batch), len(model))), np.zeros(len(batch), np.int64)
+            for i, cell, at in _cells(batch.column("text")):
                 n = np.diff(at)
-                total = np.zeros((len(n), len(model)))
                 full = np.flatnonzero(n)
                 if len(full):
-                    total[full] = np.add.reduceat(held.value[cell], at[:-1][full], axis=0, dtype=np.float64)
-                sums.append(total / np.maximum(n, 1)[:, None] * np.minimum(n, TEMPER)[:, None])
-                grams.append(n)
-            ll = np.concatenate(sums) if sums else np.zeros((0, len(model)))
+                    sums[i + full] += np.add.reduceat(held.value[cell], at[:-1][full], axis=0, dtype=np.float64)
+                grams[i : i + len(n)] += n
+            ll = sums / np.maximum(grams, 1)[:, None] * np.minimum(grams, TEMPER)[:, None]
             offsets = pa.array(np.arange(len(ll) + 1) * len(model), pa.int32())
-            cols = [batch.column(c) for c in names] + [pa.array(np.concatenate(grams) if grams else [], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(ll.ravel()))]
+            cols = [batch.column(c) for c in names] + [pa.array(grams, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(ll.ravel()))]
             yield pa.RecordBatch.from_arrays(cols, names=[*names, "grams", "ll"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
