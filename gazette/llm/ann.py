@@ -35,6 +35,8 @@ VISITED = 0.6
 BUCKETS = 32
 PART = 4096
 QUERIES = 4096
+#: Products computed again at a time.
+PAIRS = 1 << 15
 NEAREST = 20
 
 
@@ -143,21 +145,27 @@ def search(vectors: DataFrame, is_query: Column, k: int = NEAREST, visited: floa
     def rerank(queries: pd.DataFrame, entries_: pd.DataFrame) -> pd.DataFrame:
         made = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})]
         if len(queries) and len(entries_):
-            entries_ = entries_.sort_values("vec_id", kind="stable")
             ids, cells, v = entries_["vec_id"].to_numpy(), entries_["cell"].to_numpy(), np.stack(entries_["v"].to_numpy())
+            long = np.abs(v).max() * v.shape[1]
             for i in range(0, len(queries), 256):
                 part = queries.iloc[i : i + 256]
-                own = part["query_id"].to_numpy()
-                s = np.stack(part["q"].to_numpy()) @ v.T
+                own, q = part["query_id"].to_numpy(), np.stack(part["q"].to_numpy())
+                s = q @ v.T
                 seen = np.zeros((len(part), centroids * centroids), bool)
                 for row, visits in zip(seen, part["cells"]):
                     row[visits] = True
                 s[~seen[:, cells] | (own[:, None] == ids[None, :])] = -np.inf
-                # entries stand by id, so a stable sort gives ties to the smaller one
-                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                score = np.take_along_axis(s, best, 1)
-                ok = score > -np.inf
-                made.append(pd.DataFrame({"query_id": np.repeat(own, best.shape[1])[ok.ravel()], "vec_id": ids[best][ok], "score": score[ok]}))
+                # the matrix product rounds equal vectors differently: what may be among the best is computed again, one by one
+                least = np.partition(s, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(part), -np.inf)
+                slack = 1e-12 * long * np.abs(q).max(axis=1)
+                row, col = np.nonzero((s >= (least - slack)[:, None]) & (s > -np.inf))
+                score = np.zeros(len(row))
+                for a in range(0, len(row), PAIRS):  # copies of one vector tie by the thousand
+                    score[a : a + PAIRS] = (q[row[a : a + PAIRS]] * v[col[a : a + PAIRS]]).sum(axis=1)
+                by = np.lexsort((ids[col], -score, row))
+                row, col, score = row[by], col[by], score[by]
+                ok = np.arange(len(row)) - np.searchsorted(row, row) < k
+                made.append(pd.DataFrame({"query_id": own[row[ok]], "vec_id": ids[col[ok]], "score": score[ok]}))
         return pd.concat(made)
 
     near = sent.select("query_id", "cells", "q", *keys).groupBy(*keys).cogroup(held.select("vec_id", "cell", "v", *keys).groupBy(*keys))

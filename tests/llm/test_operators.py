@@ -167,6 +167,27 @@ def test_binomial_tail(spark):
     assert math.isclose(got, sum(math.comb(50, i) * 0.1**i * 0.9 ** (50 - i) for i in range(4)), rel_tol=1e-12)
 
 
+def test_trigrams_of_stretches(monkeypatch):
+    texts = pa.array(["Der schnelle Fuchs", None, "", "ab", "été à la mer " * 9, "x", "the quick brown fox"])
+
+    def counts():
+        total = [{} for _ in range(len(texts))]
+        for i, cell, at in langid._cells(texts):
+            for j in range(len(at) - 1):
+                for c in cell[at[j] : at[j + 1]].tolist():
+                    total[i + j][c] = total[i + j].get(c, 0) + 1
+        return total
+
+    whole = counts()
+    alone = []
+    for t in texts.to_pylist():
+        b = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in (t or "").lower().encode())
+        alone.append(sum(b[k : k + 2] != b"  " for k in range(len(b) - 2)))
+    assert [sum(t.values()) for t in whole] == alone
+    monkeypatch.setattr(langid.tokens, "STEP", 7)
+    assert counts() == whole
+
+
 def test_languages(docs, spark):
     rows = queries.QUERIES["op3_language_id"](spark, SF).collect()
     assert sum(r["lang"] == r["declared"] for r in rows) >= 0.98 * len(rows)
