@@ -432,8 +432,7 @@ ORACLES: dict[str, str] = {
         from p join s x on x.id = p.id join s y on y.id = other)
       select id, min(other) as match_id, round(arg_min(i / (nx + ny - i), other), 6) as similarity
       from j where i / (nx + ny - i) >= 0.7 group by id""",
-    "embedding_neighbors": f"""with b as (select greatest(4, ceil(log2(count(*) / 32.0)))::int as bits from embeddings),
-      k as (select vec_id as id, unnest({order_bands()}) as key from embeddings, b),
+    "embedding_neighbors": f"""with k as (select vec_id as id, unnest({order_bands()}) as key from embeddings, (select 4 as bits)),
       p as (select distinct a.id, b.id as other from k a join k b on a.key = b.key and b.id < a.id),
       c as (select p.id, other, list_cosine_similarity(x.embedding::double[], y.embedding::double[]) as c
         from p join embeddings x on x.vec_id = p.id join embeddings y on y.vec_id = other)

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,6 +120,18 @@ def test_short_texts_are_one_shingle(evaluate):
     assert [sorted(g) for g in got] == [["a b c", "b c d"], ["a b"], ["a"], [""], ["a a a"]]
 
 
+def test_unrelated_vectors_change_no_answer(spark):
+    rng = np.random.default_rng(5)
+    pairs = rng.normal(size=(40, 64))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([pairs, pairs + rng.normal(size=pairs.shape) * 0.3]))]
+    others = [(1000 + i, v.tolist()) for i, v in enumerate(rng.normal(size=(2000, 64)))]
+    found = []
+    for data in (rows, rows + others):
+        frame = spark.createDataFrame(data, "id long, embedding array<double>")
+        found.append({(r["id"], r["match_id"]) for r in M.similar_vectors(frame, 0.8).collect() if r["id"] < 1000})
+    assert found[0] == found[1] and len(found[0]) > 30
+
+
 def test_similar_vectors(spark):
     rng = random.Random(2)
     base = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(10)]
