@@ -802,8 +802,7 @@ def _stream_ledger(spark: SparkSession, sf: str, settings: Settings) -> DataFram
         F.lit(RUN_TS).cast("timestamp_ntz").alias("processed_at"),
         F.lit(None).cast("string").alias("page_id"), F.col("event_id").alias("ingest_ord"),
     )
-    # micro-batches number from 0, so what was there before is numbered below
-    store.replace(known, -1)
+    store.replace(known)
     query = T.intake_stream(
         _arrivals(spark, sf, copies=2), store, new_folder(spark, "stream-state"), RUN_TS, settings,
         available_now=True,

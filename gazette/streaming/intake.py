@@ -53,12 +53,14 @@ def first_snapshots(arrivals: DataFrame, ttl: str = FEED_CACHE, delay: str = "1
 def ledger_batches(store: LedgerStore, settings: Settings, run_ts: datetime.datetime):
     """``foreachBatch`` function: append links the ledger does not know, then retain.
 
-    The batch number is the run number of the store, so a repeated batch overwrites its
-    own output.
+    The store numbers each batch of each stream, so a repeated batch overwrites its own
+    output and no other run's.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        before = store.read(before=batch_id)
+        stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct"
+        run = store.batch_run(stream, batch_id)
+        before = store.read(before=run)
         arrived = Observation()
         batch = batch.observe(arrived, F.count(F.lit(1)).alias("rows"))
         unknown = batch.join(before.select(F.col("url").alias("link")), "link", "left_anti")
@@ -81,15 +83,15 @@ def ledger_batches(store: LedgerStore, settings: Settings, run_ts: datetime.date
             (F.col("ingest_ord") if "ingest_ord" in batch.columns
              else top + 1 + F.monotonically_increasing_id()).alias("ingest_ord"),
         )
-        store.append(rows, batch_id)
+        store.append(rows, run)
         if not arrived.get["rows"]:  # a batch that only moves the watermark is not a run
             return
-        written = store.spark.read.schema(before.schema).parquet(f"{store.path}/delta/run={batch_id}")
+        written = store.spark.read.schema(before.schema).parquet(f"{store.path}/delta/run={run}")
         kept, removed = N.retain(
             before.unionByName(written), settings.auto_clean_threshold, settings.clean_remove_count
         )
         if not removed.isEmpty():
-            store.replace(kept, batch_id)
+            store.replace(kept, run)
 
     return handle
 

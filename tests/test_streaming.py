@@ -98,3 +98,22 @@ def test_retention_equals_the_batch_form(spark, landing):
     store = LedgerStore(spark, new_folder(spark, "ledger"))
     run(stream(), store, new_folder(spark, "state"), Settings(auto_clean_threshold=10, clean_remove_count=5))
     assert sorted(r["url"] for r in store.read().collect()) == [f"l{i:02d}" for i in range(15)]
+
+
+def test_a_new_stream_keeps_what_other_runs_wrote(spark):
+    store = LedgerStore(spark, new_folder(spark, "ledger"))
+    first, second = store.batch_run("one", 0), store.batch_run("two", 0)
+    assert (first, second) == (0, 1) and store.batch_run("two", 0) == 1
+    store.clear()
+    assert store.next_run() == 3 and store.batch_run("one", 0) == 3
+
+
+def test_a_new_checkpoint_on_a_used_store_loses_nothing(spark, landing):
+    land, stream = landing
+    store = LedgerStore(spark, new_folder(spark, "ledger"))
+    land([arrival("f", "a", 0)])
+    run(stream(), store, new_folder(spark, "state"))
+    land([arrival("f", "b", 1)])
+    run(stream(), store, new_folder(spark, "state"))
+    assert sorted(r["url"] for r in store.read().collect()) == ["a", "b"]
+    assert len({name for name, _ in store._taken()}) == 2
