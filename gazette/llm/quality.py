@@ -197,12 +197,17 @@ def cutoffs_for(docs: DataFrame, labels: DataFrame, stratum: str = "lang", rules
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", rules: tuple[Rule, ...] = RULES, risk: Risk = Risk()) -> DataFrame:
-    """The documents that pass the base rule and the certified cutoffs, with their own columns."""
-    _, cutoffs = cutoffs_for(docs, labels, stratum, rules, risk)
-    whole = docs.select(F.struct("*").alias("_row"))
-    rows = whole.withColumn("_text", F.col("_row.text")).withColumn("_stratum", F.col(f"_row.{stratum}"))
-    kept = _verdict(measured(rows, "_text"), cutoffs, rules).where("_kept")
-    return kept.select("_row.*")
+    """The documents that pass the base rule and the certified cutoffs, with their own columns.
+
+    Texts are measured once; whole rows are staged with their measures, and the certification
+    reads the narrow columns of that table only.
+    """
+    row = F.struct("*").alias("_row")
+    body = F.coalesce("_row.text", F.lit("")).alias("_text")
+    rows = docs.select(row).select("_row", F.col("_row.doc_id").alias("_id"), F.col(f"_row.{stratum}").alias("_stratum"), body)
+    whole = keep(measured(rows, "_text").withColumn("_copy", F.md5("_text")).drop("_text"), "judged")
+    cutoffs = keep(certify(_held(whole.select("_id", "_stratum", "_copy", "_m"), labels), rules, risk), "cutoffs")
+    return _verdict(whole, cutoffs, rules).where("_kept").select("_row.*")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
