@@ -71,7 +71,7 @@ def skew_join(
     facts: DataFrame,
     dim: DataFrame,
     key: str,
-    spread: str,
+    spread: str | list[str],
     rows: int | None = None,
     load: DataFrame | None = None,
     how: str = "inner",
@@ -82,8 +82,9 @@ def skew_join(
     ``rows`` bounds the rows of ``facts`` where that is known: up to ``hot_rows`` no key
     can be heavy and a plain join does. Otherwise rows per key are counted with map-side
     combine (or given as ``load``: key, rows), the rows of a hot key are spread over
-    salts by the hash of column ``spread``, and the matching rows of ``dim`` are repeated
-    once per salt; every other key stays at salt 0. ``how`` is inner or left.
+    salts by the hash of ``spread`` (a column or several), and the matching rows of ``dim`` are repeated
+    once per salt; every other key stays at salt 0. Rows without a key match nothing and
+    are spread likewise. ``how`` is inner or left.
     """
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
     if rows is not None and rows <= hot_rows:
@@ -95,10 +96,12 @@ def skew_join(
         per_salt = F.greatest(F.lit(float(hot_rows)), total / float(HOT_SHARE))
     else:
         per_salt = F.lit(float(max(hot_rows, rows // HOT_SHARE)))
-    hot = load.withColumn("_copies", F.ceil(F.col("rows") / per_salt)).where("_copies > 1")
+    hot = load.where(F.col(key).isNotNull()).withColumn("_copies", F.ceil(F.col("rows") / per_salt)).where("_copies > 1")
     # at most HOT_SHARE keys can hold more than per_salt rows, so this broadcast is bounded
     hot = F.broadcast(hot.select(key, "_copies"))
-    salt = F.coalesce(F.pmod(F.xxhash64(spread), F.col("_copies")), F.lit(0)).cast("int")
+    by = F.xxhash64(*([spread] if isinstance(spread, str) else spread))
+    copies = F.when(F.col(key).isNull(), HOT_SHARE).otherwise(F.col("_copies"))
+    salt = F.coalesce(F.pmod(by, copies), F.lit(0)).cast("int")
     salts = F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)).cast("int") - 1)
     salted = facts.join(hot, key, "left").withColumn("_salt", salt).drop("_copies")
     repeated = dim.join(hot, key, "left").withColumn("_salt", F.explode(salts)).drop("_copies")

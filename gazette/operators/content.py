@@ -97,18 +97,18 @@ def rewrite_image(
 
 
 def override_image(
-    articles: DataFrame, entries: DataFrame, site: str = ENCLOSURE_SITE, spread: str = "image_url"
+    articles: DataFrame, entries: DataFrame, site: str = ENCLOSURE_SITE, spread: str | None = None
 ) -> DataFrame:
     """On one site the enclosure picture of the first matching entry replaces the page's.
 
     The entry side is reduced to one row per link before the join; articles that share a
-    URL are salted by column ``spread``.
+    URL are salted by column ``spread``, by default by all they hold.
     """
     flagged = entries.where("is_site_enclosure").where(F.col("link").contains(site))
     first = flagged.groupBy(F.col("link").alias("url")).agg(
         F.min_by("image_url", "pos").alias("enclosure_image")
     )
-    joined = skew_join(articles, first, "url", spread=spread, how="left")
+    joined = skew_join(articles, first, "url", spread=spread or articles.columns, how="left")
     return joined.withColumn("image_url", F.coalesce("enclosure_image", "image_url")).select(
         *articles.columns
     )

@@ -206,22 +206,6 @@ PROMPT = (
     " significanceScore, summary, tags.'"
 )
 
-PRIME = 2147483647
-
-
-def minhash_bands(bands: int = 8, rows: int = 4) -> str:
-    """List of band keys from the list ``f`` of shingle numbers."""
-
-    def one(i: int) -> str:
-        a = (48271 * (i + 1) ** 3 + 11) % PRIME
-        b = (69621 * (i + 7) ** 2 + 5) % PRIME
-        return f"list_min(list_transform(f, lambda h: (h % {PRIME} * {a} + {b}) % {PRIME}))"
-
-    keys = [
-        f"'{band}:' || " + " || ',' || ".join(one(band * rows + r) for r in range(rows))
-        for band in range(bands)
-    ]
-    return "[" + ", ".join(keys) + "]"
 
 
 def order_bands(tables: int = 8, most: int = 24, size: int = 64) -> str:
@@ -425,11 +409,9 @@ ORACLES: dict[str, str] = {
       g as (select id, case when len(w) < 3 then [array_to_string(w, ' ')]
         else list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) end as gs
         from d where len(w) > 0),
-      s as (select id, gs, list_transform(gs, lambda x: ('0x' || substr(md5(x), 1, 15))::bigint) as f from g),
-      k as (select id, unnest({minhash_bands()}) as key from s),
-      p as (select distinct a.id, b.id as other from k a join k b on a.key = b.key and b.id < a.id),
-      j as (select p.id, other, len(list_intersect(x.gs, y.gs))::double as i, len(x.gs) as nx, len(y.gs) as ny
-        from p join s x on x.id = p.id join s y on y.id = other)
+      e as (select id, len(gs) as n, unnest(gs) as x from g),
+      j as (select a.id, b.id as other, count(*)::double as i, any_value(a.n) as nx, any_value(b.n) as ny
+        from e a join e b on a.x = b.x and b.id < a.id group by a.id, b.id)
       select id, min(other) as match_id, round(arg_min(i / (nx + ny - i), other), 6) as similarity
       from j where i / (nx + ny - i) >= 0.7 group by id""",
     "embedding_neighbors": f"""with k as (select vec_id as id, unnest({order_bands()}) as key from embeddings, (select 4 as bits)),

@@ -88,7 +88,7 @@ def run_intake(
     before = store.read(before=run)
     chosen = select_articles(entries, registry, before, settings)
     fetched = C.attach_content(chosen, C.article_content(pages.join(chosen.select(F.col("link").alias("url")), "url", "left_semi")))
-    top = F.coalesce(before.agg(F.max("ingest_ord")).scalar(), F.lit(-1))
+    top = store.last_ord(run)
     articles = stage(
         fetched.select(
             "link", "title", "content", "published_date",
@@ -120,10 +120,12 @@ def run_intake(
 
 
 def apply_retention(ledger: DataFrame, store: LedgerStore, run: int, settings: Settings) -> DataFrame:
-    """Trim the ledger including this run's rows; returns the remote pages to archive."""
+    """Trim the ledger including this run's rows; returns the remote pages to archive, which
+    the store keeps as well."""
     kept, removed = N.retain(ledger, settings.auto_clean_threshold, settings.clean_remove_count)
     archive = stage(N.archive_set(removed), "archive").df
     if not removed.isEmpty():
+        store.keep_archive(archive, run)
         store.replace(kept, run)
     return archive
 

@@ -35,7 +35,7 @@ _MEDIA = "array<struct<_url string>>"
 _ENCLOSURE = "array<struct<_type string, _url string, _href string>>"
 # RSS 2.0 and RSS 1.0 items share their fields; Atom entries link by attribute.
 _ITEM = (
-    "struct<title string, link string, description string, `content:encoded` array<string>,"
+    "struct<title string, link string, guid struct<_VALUE string, _isPermaLink string>, description string, `content:encoded` array<string>,"
     " pubDate string, `dc:date` string, updated string, created string, date string,"
     f" enclosure {_ENCLOSURE}, `media:content` {_MEDIA}, `media:thumbnail` {_MEDIA}>"
 )
@@ -84,10 +84,12 @@ def _media_urls(c: Column) -> Column:
 
 
 def _from_item(item: Column) -> Column:
+    """An RSS item: the body stands in for a missing summary, a permanent guid for a missing link."""
+    permanent = F.lower(F.coalesce(item["guid"]["_isPermaLink"], F.lit("true"))) != "false"
     return F.struct(
         item["title"].alias("title"),
-        item["link"].alias("link"),
-        item["description"].alias("summary"),
+        F.coalesce(item["link"], F.when(permanent, item["guid"]["_VALUE"])).alias("link"),
+        F.coalesce(item["description"], F.get(item["content:encoded"], F.lit(0))).alias("summary"),
         F.get(item["content:encoded"], F.lit(0)).alias("content"),
         F.array(
             item["pubDate"], item["updated"], item["created"], item["date"], item["dc:date"]
@@ -132,8 +134,7 @@ def _from_entry(entry: Column) -> Column:
 def rss_entries(documents: DataFrame) -> DataFrame:
     """One row per feed entry in document order (``pos``), for RSS and Atom documents.
 
-    A malformed document or one without entries gives no rows here; ``empty_feeds``
-    reports those.
+    A malformed document or one without entries gives no rows here.
     """
     parsed = documents.withColumn(
         "_doc", F.from_xml("body", _DOCUMENT, {"mode": "PERMISSIVE"})

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gazette.common import new_folder
 from gazette.operators import retention as N
+from gazette.operators import selection as S
 from gazette.schemas import Settings
 from gazette.sources.ledger import LedgerStore
 
@@ -50,10 +51,11 @@ def first_snapshots(arrivals: DataFrame, ttl: str = FEED_CACHE, delay: str = "1
     )
 
 
-def ledger_batches(store: LedgerStore, settings: Settings, run_ts: datetime.datetime):
+def ledger_batches(store: LedgerStore, settings: Settings, run_ts: datetime.datetime | None):
     """``foreachBatch`` function: append links the ledger does not know, then retain.
 
-    The store numbers each batch of each stream, so a repeated batch overwrites its own
+    A link counts once per batch, by its first arrival, and rows without one are left out.
+    Without ``run_ts`` every batch stamps its own time. The store numbers each batch of each stream, so a repeated batch overwrites its own
     output and no other run's.
     """
 
@@ -62,9 +64,10 @@ def ledger_batches(store: LedgerStore, settings: Settings, run_ts: datetime.date
         run = store.batch_run(stream, batch_id)
         before = store.read(before=run)
         arrived = Observation()
-        batch = batch.observe(arrived, F.count(F.lit(1)).alias("rows"))
-        unknown = batch.join(before.select(F.col("url").alias("link")), "link", "left_anti")
-        top = F.coalesce(before.agg(F.max("ingest_ord")).scalar(), F.lit(-1))
+        batch = batch.observe(arrived, F.count(F.lit(1)).alias("rows")).where("link IS NOT NULL")
+        first = [c for c in ("fetched_at", "ingest_ord") if c in batch.columns] or ["link"]
+        unknown = S.new_articles(S.dedup_batch(batch, tuple(first)), before)
+        top = store.last_ord(run)
         null = F.lit(None)
         rows = unknown.select(
             F.col("link").alias("url"),
@@ -78,19 +81,20 @@ def ledger_batches(store: LedgerStore, settings: Settings, run_ts: datetime.date
             F.col("published_date"),
             null.cast("string").alias("image_url"),
             F.col("feed_url").alias("source"),
-            F.lit(run_ts).cast("timestamp_ntz").alias("processed_at"),
+            F.coalesce(F.lit(run_ts), F.localtimestamp()).cast("timestamp_ntz").alias("processed_at"),
             F.md5("link").alias("page_id"),
-            (F.col("ingest_ord") if "ingest_ord" in batch.columns
-             else top + 1 + F.monotonically_increasing_id()).alias("ingest_ord"),
+            (top + 1 + (F.col("ingest_ord") if "ingest_ord" in batch.columns
+                        else F.monotonically_increasing_id())).alias("ingest_ord"),
         )
         store.append(rows, run)
-        if not arrived.get["rows"]:  # a batch that only moves the watermark is not a run
+        if not arrived.get["rows"]:  # a batch without rows is not a run
             return
         written = store.spark.read.schema(before.schema).parquet(f"{store.path}/delta/run={run}")
         kept, removed = N.retain(
             before.unionByName(written), settings.auto_clean_threshold, settings.clean_remove_count
         )
         if not removed.isEmpty():
+            store.keep_archive(N.archive_set(removed), run)
             store.replace(kept, run)
 
     return handle
@@ -100,14 +104,17 @@ def intake_stream(
     arrivals: DataFrame,
     store: LedgerStore,
     checkpoint: str,
-    run_ts: datetime.datetime,
+    run_ts: datetime.datetime | None = None,
     settings: Settings = Settings(),
     available_now: bool = False,
 ):
-    """Start the intake: first arrivals into the ledger every polling interval."""
+    """Start the intake: new links into the ledger every polling interval.
+
+    Only the ledger decides what is new, so a link that arrives late, as in a backfill, is
+    taken however old it is.
+    """
     writer = (
-        first_arrivals(arrivals)
-        .writeStream.option("checkpointLocation", checkpoint)
+        arrivals.writeStream.option("checkpointLocation", checkpoint)
         .foreachBatch(ledger_batches(store, settings, run_ts))
     )
     if available_now:

@@ -73,3 +73,15 @@ def test_registry_keeps_order_and_repeated_names(spark):
     rows = feeds.feed_registry(spark).orderBy("feed_ord").collect()
     assert len(rows) == 18 and len({r["feed_url"] for r in rows}) == 18
     assert [r["feed_ord"] for r in rows if r["feed_name"] == "Les Numériques"] == [4, 17]
+
+
+def test_body_stands_in_for_the_summary_and_a_permanent_guid_for_the_link(spark):
+    body = """<rss version="2.0" xmlns:content="c"><channel>
+<item><title>a</title><guid>https://h/1</guid><description>d</description></item>
+<item><title>b</title><guid isPermaLink="true">https://h/2</guid><content:encoded>body</content:encoded></item>
+<item><title>c</title><guid isPermaLink="false">77</guid><description>d</description></item>
+<item><title>d</title><link>https://h/4</link><guid>https://h/5</guid><description>d</description><content:encoded>body</content:encoded></item>
+</channel></rss>"""
+    got = entries(spark, [("f", body)])
+    assert [got["f", i]["link"] for i in range(4)] == ["https://h/1", "https://h/2", None, "https://h/4"]
+    assert [got["f", i]["summary"] for i in range(4)] == ["d", "body", "d", "d"]

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from gazette.operators import records as R
 from gazette.operators import retention as N
-from gazette.schemas import LEDGER
+from gazette.plans.runs import apply_retention
+from gazette.schemas import LEDGER, Settings
 from gazette.sources import ledger as L
 from gazette.sources.pages import page_listing, parse_page_batch
 
@@ -152,3 +153,23 @@ def test_page_record(spark):
     assert second["Résumé"]["rich_text"] == [{"text": {"content": "pas du JSON"}}]
     assert second["Flux"]["multi_select"] == [] and second["Date"]["date"] is None and second["Contenu"]["rich_text"] == []
     assert second["Score"]["number"] == 0.0
+
+
+def test_imports_are_numbered_after_what_the_store_holds(spark, tmp_path):
+    store = L.LedgerStore(spark, str(tmp_path / "ledger"))
+    for urls in ('["a", "b"]', '["c", "d"]'):
+        store.take_over(L.upgrade_ledger(spark.createDataFrame([(urls,)], "value string")))
+    held = {r["url"]: r["ingest_ord"] for r in store.read().collect()}
+    assert sorted(held, key=held.get) == ["a", "b", "c", "d"] and len(set(held.values())) == 4
+    kept, removed = N.retain(store.read(), 1, 1)
+    assert [r["url"] for r in removed.collect()] == ["a"] and kept.count() == 3
+
+
+def test_store_keeps_the_pages_to_archive(spark, tmp_path):
+    store = L.LedgerStore(spark, str(tmp_path / "ledger"))
+    assert store.to_archive().count() == 0
+    store.append(rows(spark, [(0, "a", day(1), "p1"), (1, "b", day(2), None), (2, "c", day(3), "p3")]), 0)
+    archive = apply_retention(store.read(), store, 1, Settings(auto_clean_threshold=2, clean_remove_count=2))
+    assert [r["page_id"] for r in archive.collect()] == ["p1"]
+    assert [(r["page_id"], r["run"]) for r in store.to_archive().collect()] == [("p1", 1)]
+    assert [r["url"] for r in store.read().collect()] == ["c"]

@@ -88,7 +88,7 @@ def test_flags_name_the_original(spark):
     assert got[3]["similarity_reason"] is None
 
 
-def test_near_duplicates_are_exact_and_mostly_found(spark):
+def test_near_duplicates_equal_all_pairs(spark):
     rng = random.Random(5)
     rows = []
     for i in range(120):
@@ -106,13 +106,12 @@ def test_near_duplicates_are_exact_and_mostly_found(spark):
         return {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
 
     sets = {i: grams(t) for i, t in rows}
-    found = M.near_duplicates(frame).collect()
-    for r in found:
-        assert r["match_id"] < r["id"]
-        assert abs(jaccard(sets[r["id"]], sets[r["match_id"]]) - r["similarity"]) < 1e-9
-        assert r["similarity"] >= 0.7
+    found = {r["id"]: (r["match_id"], r["similarity"]) for r in M.near_duplicates(frame).collect()}
     exact = earliest(list(sets.items()), 0.7)
-    assert len(found) >= 0.9 * len(exact) and len(exact) > 30
+    assert len(exact) > 30 and set(found) == set(exact)
+    for i, (match, similarity) in found.items():
+        assert abs(jaccard(sets[i], sets[match]) - similarity) < 1e-9
+        assert match == min(j for j in sets if j < i and jaccard(sets[i], sets[j]) >= 0.7 - 1e-12)
 
 
 def test_short_texts_are_one_shingle(evaluate):
@@ -179,3 +178,21 @@ def test_staged_rows(spark):
 
 def test_words(evaluate):
     assert evaluate(words, ["L'été, 2024 !", "", None, "--"]) == [["l", "été", "2024"], [], [], []]
+
+
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_rows_without_a_key_are_spread_and_match_nothing(spark, how):
+    facts = spark.range(600).selectExpr("if(id < 500, null, 'k') as key", "id")
+    dim = spark.createDataFrame([("k", 1), (None, 2)], "key string, v int")
+    old = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = skew_join(facts, dim, "key", spread="id", how=how, hot_rows=50)
+        got = joined.withColumn("at", F.spark_partition_id()).collect()
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+    without = [r for r in got if r["key"] is None]
+    assert len(got) == (600 if how == "left" else 100) and all(r["v"] is None for r in without)
+    assert sum(r["v"] == 1 for r in got) == 100 and (how == "inner" or len({r["at"] for r in without}) > 1)

@@ -117,3 +117,21 @@ def test_a_new_checkpoint_on_a_used_store_loses_nothing(spark, landing):
     run(stream(), store, new_folder(spark, "state"))
     assert sorted(r["url"] for r in store.read().collect()) == ["a", "b"]
     assert len({name for name, _ in store._taken()}) == 2
+
+
+def test_late_and_repeated_links_reach_the_ledger_once(spark, landing):
+    land, stream = landing
+    store, state = LedgerStore(spark, new_folder(spark, "ledger")), new_folder(spark, "state")
+    land([arrival("f", "a", 20_000), arrival("g", "a", 19_999), arrival("f", None, 1)])
+    run(stream(), store, state)
+    land([arrival("f", "late", 0), arrival("f", "a", 20_001)])
+    run(stream(), store, state)
+    assert sorted((r["url"], r["source"]) for r in store.read().collect()) == [("a", "g"), ("late", "f")]
+
+
+def test_pages_of_a_trimmed_stream_can_be_archived(spark):
+    store = LedgerStore(spark, new_folder(spark, "ledger"))
+    handle = T.ledger_batches(store, Settings(auto_clean_threshold=3, clean_remove_count=2), None)
+    handle(spark.createDataFrame([arrival("f", f"l{i}", i) for i in range(4)], KIND), 0)
+    assert sorted(r["url"] for r in store.to_archive().collect()) == ["l0", "l1"]
+    assert store.read().where("processed_at is null").count() == 0
