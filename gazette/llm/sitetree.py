@@ -6,13 +6,19 @@ often each presentation (sequence of child styles) and each content (text of a b
 Nodes whose counts are spread evenly over many values are important; those that show the
 same on page after page carry no information. The importance of a branch is the larger one of
 the normalised entropies of its content and of its presentation, and branches below LEAST are
-removed from each page. Elements that say what they are need no counting: menus, footers, forms,
-comments and the like have no importance, an article or main element has full importance where a
-page has one, and what lies outside it has none.
+removed from each page, inside article and main elements too. Within a branch a text goes that
+c of its m pages have, if 1 - log c / log m is below LEAST: a notice set as one more paragraph. Elements
+that say what they are need no counting: menus, footers, forms, comments and the like have no importance. An
+article or main element raises the importance of what it holds: what lies outside it on a page that has
+one must reach SURE, on enough pages to know.
+
+Pages are told apart by their text without noise, so copies with other adverts count once. A page with more repeated
+texts than others is a copy of other pages rather than a template, and keeps them; so do cells of tables, whose
+values repeat by nature, and a page's article whose branches are all low.
 
 Only counts are shuffled per host and style, added up before the shuffle; a host's page rows meet
-its tree in a join that Spark can split. Nodes seen on fewer than FEW distinct pages of a host are
-kept: too little is known of them.
+its tree in a join that Spark can split. Of nodes seen on fewer than FEW distinct pages of a host too little is
+known: they are kept, unless they lie outside the article or main element of their page.
 
 Defined results: null or empty html has empty text; a null url is a host of its own; pages cut off
 anywhere are read as far as they go; repeated rows are extracted each but count once in the tree;
@@ -22,8 +28,7 @@ an empty table gives an empty result; further columns are not carried along.
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -34,6 +39,7 @@ from pyspark.sql import functions as F
 from gazette.llm.tables import keep, table
 
 LEAST = 0.3
+SURE = 0.6
 FEW = 4
 #: Counted values a task holds before it sends them on.
 HELD = 200_000
@@ -48,6 +54,8 @@ VOID = frozenset("area base basefont bgsound br col embed frame hr img input key
 UNSEEN = frozenset("head script style template noscript noframes noembed iframe object svg math canvas audio video select textarea button title map datalist".split())
 NOISE = frozenset("nav footer aside form menu dialog search".split())
 MAIN = frozenset("article main".split())
+#: Their texts may repeat from page to page and still be what the page is about.
+CELLS = frozenset("td th dt dd".split())
 #: An element with one of these words in class, id or role is noise.
 NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie "
@@ -164,11 +172,19 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
 
 
+def _main(blocks: list[tuple[str, str, bool, bool]]) -> bool:
+    """Whether a page has an article or main element with text."""
+    return any(main and not noise for _, _, noise, main in blocks)
+
+
 def counted(pages: DataFrame) -> DataFrame:
-    """Rows ``host, style, kind, value, page, n``: what the nodes of undecided branches show, per distinct page."""
+    """Rows ``host, style, kind, value, page``: what the nodes of all pages show, per distinct page.
+
+    Kinds: 0 texts, 1 sequences of child styles, 2 the page itself, with value 1 outside its article or main element.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        counts: set = set()
 
         def out() -> pa.RecordBatch:
             host, style, kind, value, page = zip(*counts) if counts else ((),) * 5
@@ -178,16 +194,18 @@ def counted(pages: DataFrame) -> DataFrame:
 
         for batch in batches:
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                tree, whole = Page(html or ""), _hash(html or "")
-                if any(main for _, _, _, main in tree.blocks):
-                    continue  # every branch of this page is decided by what it says it is
-                open_ = {path for path, _, noise, _ in tree.blocks if not noise}
+                tree = Page(html or "")
+                has_main = _main(tree.blocks)
+                whole = _hash("\n".join(text for _, text, noise, main in tree.blocks if not noise and (main or not has_main)))
+                open_ = {path: (_hash(path), int(has_main and not main)) for path, _, noise, main in tree.blocks if not noise}
+                for style, outside in open_.values():
+                    counts.add((host, style, 2, outside, whole))
                 for path, text, noise, _ in tree.blocks:
                     if not noise:
-                        counts[host, _hash(path), 0, _hash(text), whole] += 1
+                        counts.add((host, open_[path][0], 0, _hash(text), whole))
                 for path, shape in tree.shapes:
                     if path in open_:
-                        counts[host, _hash(path), 1, _hash(shape), whole] += 1
+                        counts.add((host, open_[path][0], 1, _hash(shape), whole))
                 if len(counts) >= HELD:
                     yield out()
         yield out()
@@ -196,40 +214,55 @@ def counted(pages: DataFrame) -> DataFrame:
 
 
 def importance(counts: DataFrame) -> DataFrame:
-    """Styles of low importance per host, as one row ``host, low`` for each host that has any.
+    """One row ``_host, low, sure, repeated`` for each host of which enough is known.
 
-    Entropy of the values over all their occurrences, divided by that of values that all differ.
+    ``low``: styles of low importance; ``sure``: those outside an article or main element that reach SURE; ``repeated``:
+    style and text, joined by exclusive or, that are on too many of the style's pages. The importance of a branch is the
+    entropy of its values over all their occurrences, divided by that of values that all differ.
     """
-    values = counts.distinct().groupBy("host", "style", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
-    nodes = values.groupBy("host", "style", "kind").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.log("n")).alias("s"))
+    values = keep(counts.distinct().groupBy("host", "style", "kind", "value").agg(F.count(F.lit(1)).alias("n")), "values")
+    nodes = values.groupBy("host", "style", "kind").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.log("n")).alias("s"), F.max("value").alias("outside"))
     # -sum p log p = log n - (sum c log c) / n
     entropy = F.when(F.col("n") > 1, (F.log("n") - F.col("s") / F.col("n")) / F.log("n")).otherwise(1.0)
-    branch = nodes.withColumn("e", entropy).groupBy("host", "style").agg(F.max("e").alias("e"), F.max("n").alias("n"))
-    low = branch.where((F.col("e") < LEAST) & (F.col("n") >= FEW))
-    return low.groupBy(F.col("host").alias("_host")).agg(F.collect_list("style").alias("low"))
-
-
-def main_text(html: str, low: set[int]) -> str:
-    """Blocks of a page that are left without noise and branches of low importance, one a line."""
+    page = F.col("kind") == 2
+    branch = nodes.groupBy("host", "style").agg(
+        F.max(F.when(~page, entropy)).alias("e"), F.max(F.when(page, F.col("n"))).alias("pages"), F.max(F.when(page, F.col("outside"))).alias("outside")
+    )
+    branch = keep(branch.where(F.col("pages") >= FEW), "branches")
+    level = F.when(F.col("e") < LEAST, 0).when((F.col("e") >= SURE) & (F.col("outside") == 1), 1)
+    styles = branch.select("host", level.alias("level"), F.col("style").alias("key")).where("level IS NOT NULL")
+    often = values.where((F.col("kind") == 0) & (F.col("n") >= FEW)).select(F.col("host").alias("_h"), F.col("style").alias("_s"), "value", "n")
+    often = often.join(branch, (F.col("style") == F.col("_s")) & F.col("host").eqNullSafe(F.col("_h"))).where(1 - F.log("n") / F.log("pages") < LEAST)
+    keys = styles.unionByName(often.select("host", F.lit(2).alias("level"), F.col("style").bitwiseXOR(F.col("value")).alias("key")))
+    lists = [F.collect_list(F.when(F.col("level") == i, F.col("key"))).alias(name) for i, name in enumerate(("low", "sure", "repeated"))]
+    return keys.groupBy(F.col("host").alias("_host")).agg(*lists)
+
+
+def main_text(html: str, low: Set[int], sure: Set[int] = frozenset(), repeated: Set[int] = frozenset()) -> str:
+    """Blocks of a page that are left without noise and what the host's tree takes away, one a line."""
     blocks = Page(html).blocks
-    main = any(m and not noise for _, _, noise, m in blocks)
-    if main:
-        kept = [text for _, text, noise, m in blocks if m and not noise]
-    else:
-        kept = [text for path, text, noise, _ in blocks if not noise and _hash(path) not in low]
-    return "\n".join(kept)
+    has_main = _main(blocks)
+    blocks = [(path, text, _hash(path), main) for path, text, noise, main in blocks if not noise]
+    kept = [b for b in blocks if b[2] not in low and (b[3] or not has_main or b[2] in sure)]
+    if has_main and not any(b[3] for b in kept):
+        kept = [b for b in blocks if b[3]]
+    own = [b for b in kept if b[2] ^ _hash(b[1]) not in repeated or b[0].rpartition("/")[2].partition(".")[0] in CELLS]
+    if 2 * len(own) >= len(kept):
+        kept = own
+    return "\n".join(b[1] for b in kept)
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """Rows ``page_id, url, text, n_chars`` for every row of ``pages`` (page_id, url, html)."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.regexp_extract("url", r"(?s)^[^:]*://([^/?#]*)", 1).alias("host"), "html")
     # written first, so that its size is known when the join with the pages is planned
-    low = keep(importance(counted(rows)), "styles")
-    joined = rows.join(low, rows["host"].eqNullSafe(low["_host"]), "left").select("page_id", "url", "html", "low")
+    known = keep(importance(counted(rows)), "styles")
+    joined = rows.join(known, rows["host"].eqNullSafe(known["_host"]), "left").select("page_id", "url", "html", "low", "sure", "repeated")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(h or "", set(l or ())) for h, l in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            rows = zip(*(batch.column(i).to_pylist() for i in range(2, 6)))
+            texts = [main_text(html or "", *(frozenset(x or ()) for x in known)) for html, *known in rows]
             cols = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "text", "n_chars"])
 

@@ -262,6 +262,21 @@ def test_site_trees_find_what_repeats(spark):
     assert got[91][0].startswith("Same words")
 
 
+def test_site_trees_decide_inside_articles(spark):
+    page = lambda i: (
+        f"<body><h1>Title {i}</h1><p>Outside</p><article><p>Text {i}</p><div>Get the app</div><p>Read on with us</p><p>More {i}</p>"
+        f"<table><tr><td>Yes<td>{i}</table></article><div class=ad>Ad {i}</div>"
+    )
+    copies = "<body><article>" + "".join(f"<p>Same {k}</p>" for k in range(6))
+    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(20)]
+    rows += [(100 + i, f"http://copies.example/{i}", f"{copies}<p>Edit {i}</p></article>") for i in range(8)]
+    rows += [(200 + i, f"http://one.example/{i}", f"<body><article><p>The text</p></article><div class=ad>Ad {i}") for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in sitetree.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Title 3\nText 3\nMore 3\nYes\n3"
+    assert got[104] == "\n".join([f"Same {k}" for k in range(6)] + ["Edit 4"])
+    assert got[200] == got[207] == "The text"
+
+
 @pytest.mark.parametrize("name", ["op1_quality_rules", "op6_url_filter", "op9_source_mix"])
 def test_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
