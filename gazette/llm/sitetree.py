@@ -9,6 +9,7 @@ the normalised entropies of its content and of its presentation, and branches be
 removed from each page, inside article and main elements too. Within a branch a text goes that
 c of its m pages have, if 1 - log c / log m is below LEAST: a notice set as one more paragraph. Elements
 that say what they are need no counting: menus, footers, forms, comments and the like have no importance. An
+element with a noise word beside others in a name, such as related-work, must reach SURE to stay. An
 article or main element raises the importance of what it holds: what lies outside it on a page that has
 one must reach SURE, on enough pages to know.
 
@@ -56,13 +57,17 @@ NOISE = frozenset("nav footer aside form menu dialog search".split())
 MAIN = frozenset("article main".split())
 #: Their texts may repeat from page to page and still be what the page is about.
 CELLS = frozenset("td th dt dd".split())
-#: An element with one of these words in class, id or role is noise.
+#: An element is noise whose class, id or role is one of these words, or made of them and AFFIXES only.
 NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie "
     "cookies disqus footer header menu menubar modal nav navbar navigation newsletter notice notices notification paywall popup "
     "promo promotion recommended related share sharing sidebar social sponsor sponsored subscribe toolbar widget complementary "
     "contentinfo discussion replies".split()
 )
+AFFIXES = frozenset(
+    "area articles bar block bottom box button buttons container global google icon icons inner js link links list media posts "
+    "section site slot stories top unit widgets wp wrap wrapper".split()
+)
 #: A new one of these closes an open one, up to the nearest element that may hold it.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -73,20 +78,26 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "style", "noise", "main", "children")
+    __slots__ = ("tag", "style", "noise", "main", "named", "doubt", "children")
 
-    def __init__(self, tag: str, style: str, noise: bool, main: bool) -> None:
-        self.tag, self.style, self.noise, self.main = tag, style, noise, main
+    def __init__(self, tag: str, style: str, noise: bool, main: bool, named: bool = False, doubt: bool = False) -> None:
+        self.tag, self.style, self.noise, self.main, self.named, self.doubt = tag, style, noise, main, named, doubt
         self.children: list[str] = []
 
 
 class Page(HTMLParser):
-    """Blocks ``(path, text, noise, main)`` of a page in order, and the child styles of each node."""
+    """Blocks ``(path, text, noise, main, doubt)`` of a page in order, and the child styles of each node.
+
+    Noise is what an element is by its tag or by its whole class, id or role; of one that has a noise word beside
+    others in a name there is doubt. Names of elements around the outermost article or main count for nothing, unless the
+    page has main text elsewhere, as where comments are articles.
+    """
 
     def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[Node] = [Node("#", "", False, False)]
-        self.blocks: list[tuple[str, str, bool, bool]] = []
+        self.found: list[tuple[str, str, tuple[Node, ...]]] = []
+        self.around: list[Node] = []
         self.shapes: list[tuple[str, str]] = []
         self.words: list[str] = []
         self.feed(html)
@@ -94,6 +105,15 @@ class Page(HTMLParser):
         self._flush()
         while self.stack:
             self._leave()
+        for node in self.around:
+            node.doubt = False
+        if not any(main and not noise for _, _, noise, main, _ in self._blocks()):
+            for node in self.around:
+                node.named = False
+        self.blocks = self._blocks()
+
+    def _blocks(self) -> list[tuple[str, str, bool, bool, bool]]:
+        return [(path, text, any(n.noise or n.named for n in nodes), any(n.main for n in nodes), any(n.doubt for n in nodes)) for path, text, nodes in self.found]
 
     def _path(self) -> str:
         return "/".join(n.style for n in self.stack if n.style)
@@ -102,7 +122,7 @@ class Page(HTMLParser):
         text = SPACE.sub(" ", "".join(self.words)).strip()
         self.words.clear()
         if text and not any(n.tag in UNSEEN for n in self.stack):
-            self.blocks.append((self._path(), text, any(n.noise for n in self.stack), any(n.main for n in self.stack)))
+            self.found.append((self._path(), text, tuple(self.stack)))
 
     def _leave(self) -> None:
         node = self.stack[-1]
@@ -142,14 +162,22 @@ class Page(HTMLParser):
                     break
         named = dict(attrs)
         names = f"{named.get('class') or ''} {named.get('id') or ''}".lower().split()
-        said = set(re.split(r"[^a-z]+", " ".join(names) + " " + (named.get("role") or "").lower()))
         inside = any(n.main for n in self.stack)
         hidden = "hidden" in named or (named.get("aria-hidden") or "").lower() == "true" or re.search(r"display\s*:\s*none", named.get("style") or "", re.I) is not None
-        noise = tag in NOISE or hidden or (tag not in {"html", "body", *MAIN} and bool(said & NOISE_WORDS)) or (tag == "header" and not inside)
+        noise = tag in NOISE or hidden or (tag == "header" and not inside)
+        whole = doubt = False
+        if tag not in {"html", "body", *MAIN}:
+            for name in names + (named.get("role") or "").lower().split():
+                said = {w for w in re.split(r"[^a-z]+", name) if w}
+                if said & NOISE_WORDS:
+                    # the header of an article holds its title
+                    whole, doubt = whole or (said <= NOISE_WORDS | AFFIXES and not (inside and "header" in said)), True
+        if tag in MAIN and not inside:
+            self.around += self.stack
         style = tag + "".join("." + re.sub(r"\d+", "#", n) for n in sorted(names))
         if tag in BLOCKS:
             self.stack[-1].children.append(style)
-        self.stack.append(Node(tag, style if tag in BLOCKS else "", noise, tag in MAIN))
+        self.stack.append(Node(tag, style if tag in BLOCKS else "", noise, tag in MAIN, whole, doubt))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         # outside foreign elements the slash means nothing
@@ -172,9 +200,9 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
 
 
-def _main(blocks: list[tuple[str, str, bool, bool]]) -> bool:
+def _main(blocks: list[tuple[str, str, bool, bool, bool]]) -> bool:
     """Whether a page has an article or main element with text."""
-    return any(main and not noise for _, _, noise, main in blocks)
+    return any(main and not noise for _, _, noise, main, _ in blocks)
 
 
 def counted(pages: DataFrame) -> DataFrame:
@@ -196,11 +224,11 @@ def counted(pages: DataFrame) -> DataFrame:
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 tree = Page(html or "")
                 has_main = _main(tree.blocks)
-                whole = _hash("\n".join(text for _, text, noise, main in tree.blocks if not noise and (main or not has_main)))
-                open_ = {path: (_hash(path), int(has_main and not main)) for path, _, noise, main in tree.blocks if not noise}
+                whole = _hash("\n".join(text for _, text, noise, main, _ in tree.blocks if not noise and (main or not has_main)))
+                open_ = {path: (_hash(path), int(has_main and not main)) for path, _, noise, main, _ in tree.blocks if not noise}
                 for style, outside in open_.values():
                     counts.add((host, style, 2, outside, whole))
-                for path, text, noise, _ in tree.blocks:
+                for path, text, noise, _, _ in tree.blocks:
                     if not noise:
                         counts.add((host, open_[path][0], 0, _hash(text), whole))
                 for path, shape in tree.shapes:
@@ -214,10 +242,10 @@ def counted(pages: DataFrame) -> DataFrame:
 
 
 def importance(counts: DataFrame) -> DataFrame:
-    """One row ``_host, low, sure, repeated`` for each host of which enough is known.
+    """One row ``_host, low, sure, repeated, doubtful`` for each host of which enough is known.
 
     ``low``: styles of low importance; ``sure``: those outside an article or main element that reach SURE; ``repeated``:
-    style and text, joined by exclusive or, that are on too many of the style's pages. The importance of a branch is the
+    style and text, joined by exclusive or, that are on too many of the style's pages; ``doubtful``: styles between LEAST and SURE. The importance of a branch is the
     entropy of its values over all their occurrences, divided by that of values that all differ.
     """
     values = keep(counts.distinct().groupBy("host", "style", "kind", "value").agg(F.count(F.lit(1)).alias("n")), "values")
@@ -234,16 +262,17 @@ def importance(counts: DataFrame) -> DataFrame:
     often = values.where((F.col("kind") == 0) & (F.col("n") >= FEW)).select(F.col("host").alias("_h"), F.col("style").alias("_s"), "value", "n")
     often = often.join(branch, (F.col("style") == F.col("_s")) & F.col("host").eqNullSafe(F.col("_h"))).where(1 - F.log("n") / F.log("pages") < LEAST)
     keys = styles.unionByName(often.select("host", F.lit(2).alias("level"), F.col("style").bitwiseXOR(F.col("value")).alias("key")))
-    lists = [F.collect_list(F.when(F.col("level") == i, F.col("key"))).alias(name) for i, name in enumerate(("low", "sure", "repeated"))]
+    keys = keys.unionByName(branch.where((F.col("e") >= LEAST) & (F.col("e") < SURE)).select("host", F.lit(3).alias("level"), F.col("style").alias("key")))
+    lists = [F.collect_list(F.when(F.col("level") == i, F.col("key"))).alias(name) for i, name in enumerate(("low", "sure", "repeated", "doubtful"))]
     return keys.groupBy(F.col("host").alias("_host")).agg(*lists)
 
 
-def main_text(html: str, low: Set[int], sure: Set[int] = frozenset(), repeated: Set[int] = frozenset()) -> str:
+def main_text(html: str, low: Set[int], sure: Set[int] = frozenset(), repeated: Set[int] = frozenset(), doubtful: Set[int] = frozenset()) -> str:
     """Blocks of a page that are left without noise and what the host's tree takes away, one a line."""
     blocks = Page(html).blocks
     has_main = _main(blocks)
-    blocks = [(path, text, _hash(path), main) for path, text, noise, main in blocks if not noise]
-    kept = [b for b in blocks if b[2] not in low and (b[3] or not has_main or b[2] in sure)]
+    blocks = [(path, text, _hash(path), main, doubt) for path, text, noise, main, doubt in blocks if not noise]
+    kept = [b for b in blocks if b[2] not in low and not (b[4] and b[2] in doubtful) and (b[3] or not has_main or b[2] in sure)]
     if has_main and not any(b[3] for b in kept):
         kept = [b for b in blocks if b[3]]
     own = [b for b in kept if b[2] ^ _hash(b[1]) not in repeated or b[0].rpartition("/")[2].partition(".")[0] in CELLS]
@@ -257,11 +286,11 @@ def extracted(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.regexp_extract("url", r"(?s)^[^:]*://([^/?#]*)", 1).alias("host"), "html")
     # written first, so that its size is known when the join with the pages is planned
     known = keep(importance(counted(rows)), "styles")
-    joined = rows.join(known, rows["host"].eqNullSafe(known["_host"]), "left").select("page_id", "url", "html", "low", "sure", "repeated")
+    joined = rows.join(known, rows["host"].eqNullSafe(known["_host"]), "left").select("page_id", "url", "html", "low", "sure", "repeated", "doubtful")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(batch.column(i).to_pylist() for i in range(2, 6)))
+            rows = zip(*(batch.column(i).to_pylist() for i in range(2, 7)))
             texts = [main_text(html or "", *(frozenset(x or ()) for x in known)) for html, *known in rows]
             cols = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "text", "n_chars"])

@@ -277,6 +277,26 @@ def test_site_trees_decide_inside_articles(spark):
     assert got[200] == got[207] == "The text"
 
 
+@pytest.mark.parametrize("name", ["class='layout no-sidebar'", "class=has-header", "id=page-with-menu", "class=sidebar", "role=banner"])
+def test_names_around_an_article_do_not_empty_it(name):
+    page = f"<body><div {name}><p>Before</p><article><h1>A</h1><p>One</p><div class=ad>Buy</div></article></div><div class=sidebar>Side</div>"
+    assert sitetree.main_text(page, set()) == "A\nOne"
+
+
+def test_noise_words_in_names(spark):
+    page = "<article><div class=article-header><h1>A</h1></div><div class=header>B</div><p class=share-price>C</p><div class=related-work><p>D</p></div>{}</article>"
+    assert sitetree.main_text(page.format(""), set()) == "A\nB\nC\nD"
+    for name in ("class=share-buttons", "class='x ad-slot'", "id=comments", "class=cookie-notice", "role=navigation", "class=related-articles"):
+        assert sitetree.main_text(page.format(f"<div {name}>Noise</div>"), set()) == "A\nB\nC\nD"
+    comments = "<article><p>A</p></article><div class=comments><article><p>B</p></article></div>"
+    assert sitetree.main_text(comments, set()) == "A"
+    # values that are a few over and over: between the two limits, so only the name tells
+    page = lambda i: f"<article><p>Text {i}</p><div class=share-tip>Tip {i % 4}</div><div class=tip>Tip {i % 4}</div></article>"
+    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(20)]
+    got = {r["page_id"]: r["text"] for r in sitetree.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[5] == "Text 5\nTip 1"
+
+
 @pytest.mark.parametrize("name", ["op1_quality_rules", "op6_url_filter", "op9_source_mix"])
 def test_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
