@@ -3,7 +3,7 @@
 A vector is cut into two halves and each half is put to the nearest of CENTROIDS centroids, so
 the index has a cell for every pair of centroids. A query visits the pairs in the order of
 summed nearness of the two halves, taken from a heap, until the visited cells hold the share
-VISITED of all vectors, and the entries of these cells are reranked by their exact inner
+VISITED of all vectors and FLOOR times as many entries as are asked for, and the entries of these cells are reranked by their exact inner
 products. The share is high because it must do for vectors without clusters: of unit vectors
 spread evenly over 64 dimensions, a smaller one finds fewer than nine of ten neighbours.
 
@@ -12,8 +12,8 @@ Cells are dealt into BUCKETS, buckets split into parts of about PART entries and
 a bucket into parts as well, so a cell that holds a third of all vectors is many tasks. Numbers per
 cell or bucket are tables of at most CENTROIDS**2 rows.
 
-Defined results: vectors that are null, empty, all zero, of another length than the first
-fitted one, or hold a null, NaN or infinity take no part, as query or as candidate; null ids neither; rows with the query's own
+Defined results: vectors that are null, empty, all zero, of another length than the most
+frequent one (of two as frequent, the shorter), or hold a null, NaN or infinity take no part, as query or as candidate; null ids neither; rows with the query's own
 id are no candidates; ties go to the smaller id; no valid vectors give no rows.
 """
 
@@ -32,6 +32,7 @@ from gazette.llm.tables import keep, table
 CENTROIDS = 32
 SAMPLE = 20_000
 VISITED = 0.6
+FLOOR = 10
 BUCKETS = 32
 PART = 4096
 QUERIES = 4096
@@ -101,13 +102,14 @@ def search(vectors: DataFrame, is_query: Column, k: int = NEAREST, visited: floa
     """Rows ``query_id, rank, vec_id, score`` for every row of ``vectors`` that ``is_query`` picks."""
     rows = valid(vectors)
     spark = rows.sparkSession
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toPandas()["v"]  # SAMPLE vectors at most
+    widths = rows.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), "width").head(1)
     none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not len(sample):
+    if not widths:
         return none
-    width = len(sample.iloc[0])
-    book = Codebook(np.array([x for x in sample if len(x) == width]), centroids)
+    width = widths[0]["width"]
     rows = rows.where(F.size("v") == width)
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toPandas()["v"]  # SAMPLE vectors at most
+    book = Codebook(np.array(sample.tolist()), centroids)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -126,14 +128,15 @@ def search(vectors: DataFrame, is_query: Column, k: int = NEAREST, visited: floa
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             made = []
-            for id_, q in zip(pdf["vec_id"], pdf["v"]):
+            for id_, q, own in zip(pdf["vec_id"], pdf["v"], pdf["own"]):
                 cells: dict[int, list[int]] = {}
-                for cell in book.visit(np.asarray(q), sizes, entries):
+                for cell in book.visit(np.asarray(q), sizes, max(entries, FLOOR * k + own)):
                     cells.setdefault(cell % BUCKETS, []).append(cell)
                 made += [(id_, bucket, own, q) for bucket, own in cells.items()]
             yield pd.DataFrame(made, columns=["query_id", "bucket", "cells", "q"])
 
-    asked = index.where(is_query).select("vec_id", "v").dropDuplicates(["vec_id"])
+    # rows with the query's own id are no candidates, however many there are
+    asked = index.where(is_query).groupBy("vec_id").agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("own"))
     turns = max(1, -(-asked.count() // QUERIES))
     probes = asked.mapInPandas(probe, "query_id long, bucket int, cells array<int>, q array<double>")
     parts = F.element_at(F.create_map(*[F.lit(x) for b, n in load.items() for x in (b, -(-n // PART))]), F.col("bucket"))

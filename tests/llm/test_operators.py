@@ -242,6 +242,22 @@ def test_neighbours(spark):
     assert ann.search(table.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("n", [5, 25, 40])
+def test_neighbours_of_few(spark, n):
+    rng = np.random.default_rng(n)
+    v = rng.normal(size=(n, 64))
+    # some rows are of another width, and one id stands in several rows
+    vectors = [(i, x.tolist()) for i, x in enumerate(v)] + [(0, v[0].tolist())] * 3 + [(10_000 + i, [1.0] * 7) for i in range(3)]
+    rows = ann.search(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), F.lit(True)).collect()
+    for q in range(n):
+        s = np.where(np.arange(n) == q, -np.inf, v @ v[q])
+        want = np.lexsort((np.arange(n), -s))[: min(20, n - 1)]
+        got = [r["vec_id"] for r in sorted((r for r in rows if r["query_id"] == q), key=lambda r: r["rank"])]
+        # the row of id 0 stands four times and may take several ranks
+        assert list(dict.fromkeys(got)) == want.tolist()[: len(set(got))] and len(got) == min(20, n - 1 + (0 if q == 0 else 3))
+    assert all(r["query_id"] < n for r in rows)
+
+
 def test_main_text():
     page = (
         "<html><body><header>Top</header><nav><ul><li><a>Menu</a></ul></nav><div class='cookie-notice'>Eat</div><article><h1>A &amp; B</h1>"
