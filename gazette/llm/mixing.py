@@ -101,23 +101,23 @@ def _counted(docs: DataFrame) -> DataFrame:
     )
     copies = (F.col("_turns") / EPOCHS).cast("int")
     each = F.transform(F.sequence(F.lit(0), copies - 1), lambda i: F.floor(F.col("_times") / copies).cast("int") + (i < F.col("_times") % copies).cast("int"))
-    return grouped.select(*same, "source_size", "target", F.posexplode(each).alias("_copy", "_times"))
+    return grouped.select(*same, "source_size", "target", copies.alias("_copies"), F.posexplode(each).alias("_copy", "_times"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """The mix itself: each taken document with its own columns, as often as it is taken."""
     times = _counted(docs.select("doc_id", "source", "text")).where("_times > 0")
-    times = keep(times.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "_text", "_copy", "_times"), "mix")
+    times = keep(times.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "_text", "_copies", "_times"), "mix")
     rows = docs.select(F.struct("*").alias("_row"))
     id_, source, text = F.col("_row.doc_id"), F.col("_row.source"), F.md5(F.coalesce(F.col("_row.text"), F.lit("")))
     rows = rows.withColumn("_k", F.xxhash64(id_, source, text))
-    times = times.groupBy("_id", "_source", "_text").agg(F.sum("_times").alias("_sum"), F.max("_copy").alias("_last"))
+    times = times.groupBy("_id", "_source", "_text").agg(F.sum("_times").alias("_sum"), F.max("_copies").alias("_n"))
     times = times.withColumn("_k2", F.xxhash64("_id", "_source", "_text"))
     found = rows.join(times, (rows["_k"] == times["_k2"]) & id_.eqNullSafe(times["_id"]) & source.eqNullSafe(times["_source"]) & (text == times["_text"]))
     # documents with an equal twin share the times of all twins evenly, first rows first
     twins = Window.partitionBy("_k", "_id", "_source", "_text").orderBy(F.monotonically_increasing_id())
-    alone, several = found.where("_last = 0"), found.where("_last > 0")
-    n = F.col("_last") + 1
+    alone, several = found.where("_n = 1"), found.where("_n > 1")
+    n = F.col("_n")
     several = several.withColumn("_at", F.row_number().over(twins) - 1).withColumn("_sum", F.floor(F.col("_sum") / n) + (F.col("_at") < F.col("_sum") % n).cast("long")).drop("_at")
     every = alone.unionByName(several).where("_sum > 0")
     return every.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_sum").cast("int")))).select("_row.*")

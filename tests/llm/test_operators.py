@@ -258,6 +258,24 @@ def test_neighbours_of_few(spark, n):
     assert all(r["query_id"] < n for r in rows)
 
 
+def test_mix_of_equal_rows(spark):
+    # eleven rows alike in the source of least weight, of which the budget takes fewer turns than there are rows
+    rows = [(None, "same words here", "c", k) for k in range(11)] + [(i, "word " * 11, source, i) for source in "ab" for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n int")
+    times = mixing._counted(docs).where("doc_id is null").agg(F.sum("_times")).first()[0]
+    assert 0 < times < 11
+    got = [r["n"] for r in mixing.mix(docs).where("doc_id is null").collect()]
+    assert len(got) == len(set(got)) == times
+
+
+def test_one_of_each_keeps_unlike_texts_of_an_id(spark):
+    a, b = prose(1, 60), prose(500, 60)
+    rows = [(5, a, "x"), (5, b, "x"), (7, a, "y"), (5, a, "w"), (None, a, "z"), (3, None, "x"), (3, b, "v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in jaccard.one_of_each(docs).collect())
+    assert got == sorted([(5, a), (3, b), (3, ""), (0, a)])
+
+
 def test_main_text():
     page = (
         "<html><body><header>Top</header><nav><ul><li><a>Menu</a></ul></nav><div class='cookie-notice'>Eat</div><article><h1>A &amp; B</h1>"
