@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gazette.llm import ann, jaccard, langid, licenses, lm, mixing, packing, quality, sitetree, urls
+from gazette.llm import align, ann, jaccard, langid, licenses, lm, mixing, packing, phrases, pii, quality, sitetree, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -19,5 +19,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_source_mix": mixing.op9_source_mix,
     "op10_html_extraction": sitetree.op10_html_extraction,
+    "op11_pii": pii.op11_pii,
+    "op12_phrase_mining": phrases.op12_phrase_mining,
+    "op13_tokenizer_alignment": align.op13_tokenizer_alignment,
+}
+SQL: dict[str, str] = {
+    "op1_quality_rules": quality.SQL,
+    "op6_url_filter": urls.SQL,
+    "op9_source_mix": mixing.SQL,
+    "op11_pii": pii.SQL,
+    "op12_phrase_mining": phrases.SQL,
 }
-SQL: dict[str, str] = {"op1_quality_rules": quality.SQL, "op6_url_filter": urls.SQL, "op9_source_mix": mixing.SQL}
