@@ -7,6 +7,8 @@ import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gazette.sources.tables import read_if_any
+
 # Fixed value: the rule that closes an entry.
 RULE = "=" * 50
 
@@ -31,9 +33,18 @@ def interaction_log(interactions: DataFrame, log_date: datetime.date, enabled: b
     )
 
 
-def append_log(log: DataFrame, path: str) -> None:
-    """Append log rows below one folder per day."""
-    log.write.mode("append").partitionBy("log_date").parquet(path)
+def write_log(log: DataFrame, path: str, log_date: datetime.date, run: str) -> None:
+    """Log rows of a run below a folder of its day; a repeated run overwrites its own."""
+    log.drop("log_date").write.mode("overwrite").parquet(f"{path}/log_date={log_date}/run={run}")
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """(link, prompt, response, prompt_chars, response_chars, entry, log_date, run) of all days."""
+    columns = (
+        "link string, prompt string, response string, prompt_chars int, response_chars int, entry string,"
+        " log_date date, run string"
+    )
+    return read_if_any(spark, path, columns)
 
 
 def purge_logs(spark: SparkSession, path: str) -> int:

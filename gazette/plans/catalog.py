@@ -14,6 +14,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from gazette.common import micros, new_folder
 from gazette.functions import dates, entities, payload, text, urls
@@ -135,7 +136,7 @@ _XMLNS = (
 
 
 def _feed_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document as a feed of two items, every ninth one cut off."""
+    """Every document as a feed of two items, and, for every ninth, one more that is cut off."""
     docs = _documents(spark, sf, heavy=True)
     when = F.timestamp_add(
         "MINUTE", F.col("doc_id"), F.expr("timestamp_ntz'2024-01-01 00:00:00'")
@@ -156,11 +157,12 @@ def _feed_documents(spark: SparkSession, sf: str) -> DataFrame:
         number, F.lit("</description><dc:date>2024-02-03T04:05:06+01:00</dc:date>"
                       '<media:content url="https://h/m.jpg"/><content:encoded>c</content:encoded></item></channel></rss>'),
     )
-    cut = F.when(F.col("doc_id") % 9 == 0, F.substr(body, F.lit(1), F.length(body) - 20)).otherwise(body)
+    cut = F.substr(body, F.lit(1), F.length(body) - 20)
+    bodies = F.when(F.col("doc_id") % 9 == 0, F.array(body, cut)).otherwise(F.array(body))
     return docs.select(
         F.col("source").alias("feed_url"),
         F.lit(None).cast("timestamp").alias("fetched_at"),
-        cut.alias("body"),
+        F.explode(bodies).alias("body"),
     ).to(FEED_DOCUMENT)
 
 
@@ -306,15 +308,16 @@ def image_override(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def article_content(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages with their entry: fetched text or, where the fetch failed, the summary."""
+    """Every page with its entry: the fetched text; and, for every tenth, an entry whose fetch failed: its summary."""
     pages = _table(spark, sf, "pages", heavy=True).selectExpr(
-        "concat('https://news.example/a/', page_id) as url", "if(page_id % 10 = 0, null, html) as html"
+        "explode(if(page_id % 10 = 0, array(false, true), array(false))) as failed", "page_id", "url", "html"
+    ).selectExpr(
+        "page_id", "concat(if(failed, 'https://failed.example/', 'https://news.example/a/'), page_id) as link",
+        "concat('summary of ', url) as summary", "if(failed, null, html) as html",
     )
-    entries = _table(spark, sf, "pages").selectExpr(
-        "page_id", "concat('https://news.example/a/', page_id) as link", "concat('summary of ', url) as summary"
-    )
-    joined = C.attach_content(entries, C.article_content(pages))
-    return joined.select("page_id", "content")
+    fetched = C.article_content(pages.select(F.col("link").alias("url"), "html"))
+    joined = C.attach_content(pages.select("page_id", "link", "summary"), fetched)
+    return joined.select("page_id", "link", "content")
 
 
 _PICTURED = (
@@ -656,14 +659,14 @@ def top_tag(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def prompt_build(spark: SparkSession, sf: str) -> DataFrame:
-    history = E.recent_titles(_ledger(spark, sf), 20).scalar()
+    history = E.recent_titles(_ledger(spark, sf), SETTINGS.prompt_history).scalar()
     return _documents(spark, sf).select(
         "doc_id", E.build_prompt(F.col("title"), F.col("text"), history).alias("prompt")
     )
 
 
 def prompt_budget(spark: SparkSession, sf: str) -> DataFrame:
-    history = E.recent_titles(_ledger(spark, sf), 20).scalar()
+    history = E.recent_titles(_ledger(spark, sf), SETTINGS.prompt_history).scalar()
     prompts = _documents(spark, sf, heavy=True).select(
         "source", E.build_prompt(F.col("title"), F.col("text"), history).alias("prompt")
     )
@@ -774,17 +777,17 @@ def _instant(c: str):
 
 
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    out = T.drain(T.first_arrivals(_arrivals(spark, sf, copies=2)), spark, "dedup")
+    out = T.rolled_up(_arrivals(spark, sf, copies=2), T.first_arrivals(), spark, "dedup")
     return out.select("feed_url", "link", _instant("fetched_at").alias("fetched_at"))
 
 
 def stream_counts(spark: SparkSession, sf: str) -> DataFrame:
-    out = T.drain(T.feed_window_counts(_arrivals(spark, sf)), spark, "counts")
+    out = T.rolled_up(_arrivals(spark, sf), T.feed_window_counts(), spark, "counts")
     return out.select(_instant("window_start").alias("window_start"), "feed_url", "arrivals")
 
 
 def snapshot_ttl(spark: SparkSession, sf: str) -> DataFrame:
-    out = T.drain(T.first_snapshots(_arrivals(spark, sf)), spark, "snapshots")
+    out = T.rolled_up(_arrivals(spark, sf), T.first_snapshots(), spark, "snapshots")
     return out.select(
         _instant("window_start").alias("window_start"), "feed_url", "link",
         _instant("fetched_at").alias("fetched_at"), "snapshots",
@@ -802,7 +805,7 @@ def _stream_ledger(spark: SparkSession, sf: str, settings: Settings) -> DataFram
         F.lit(RUN_TS).cast("timestamp_ntz").alias("processed_at"),
         F.lit(None).cast("string").alias("page_id"), F.col("event_id").alias("ingest_ord"),
     )
-    store.replace(known)
+    store.append(known)
     query = T.intake_stream(
         _arrivals(spark, sf, copies=2), store, new_folder(spark, "stream-state"), RUN_TS, settings,
         available_now=True,
@@ -821,6 +824,49 @@ def stream_retention(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("url", "source", dates.iso_date(F.col("published_date")).alias("date"))
 
 
+def _land_feeds(spark: SparkSession, sf: str, path: str, first: int, last: int, at: datetime.datetime) -> None:
+    """One snapshot of every feed, landed: its documents from ``first`` to ``last`` in order."""
+    ranked = _documents(spark, sf).withColumn("rank", F.row_number().over(W.partitionBy("source").orderBy("doc_id")))
+    shown = ranked.where(F.col("rank").between(first, last))
+    escaped = F.col("title")
+    for raw, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        escaped = F.replace(escaped, F.lit(raw), F.lit(name))
+    item = F.concat(
+        F.lit("<item><title>"), escaped, F.lit("</title><link>"), "link", F.lit("</link><description><![CDATA["),
+        F.replace("text", F.lit("]]>"), F.lit("")), F.lit("]]></description></item>"),
+    )
+    # a snapshot holds as many entries as a feed shows
+    feed = shown.select("source", F.struct("rank", item.alias("xml")).alias("item")).groupBy("source").agg(
+        F.array_sort(F.collect_list("item")).alias("items")
+    )
+    xml = F.array_join(F.transform("items", lambda i: i["xml"]), "")
+    feed.select(
+        F.col("source").alias("feed_url"),
+        F.timestamp_micros(micros(F.lit(at).cast("timestamp_ntz"))).alias("fetched_at"),
+        F.concat(F.lit("<rss><channel>"), xml, F.lit("</channel></rss>")).alias("body"),
+    ).to(FEED_DOCUMENT).write.mode("append").parquet(path)
+
+
+def stream_articles(spark: SparkSession, sf: str) -> DataFrame:
+    """Two polls of all feeds, the second with entries that the first had, as a stream of whole articles."""
+    landing, state = new_folder(spark, "landed-feeds"), new_folder(spark, "article-state")
+    store = ledger.LedgerStore(spark, new_folder(spark, "article-ledger"))
+    records, steps = new_folder(spark, "page-records"), runs.Steps()
+    settings = Settings(max_articles_per_feed=20, auto_clean_threshold=10**12)
+
+    def pages() -> DataFrame:
+        return _table(spark, sf, "pages").select(F.concat(F.lit("https://news.example/a/"), "page_id").alias("url"), "html")
+
+    for first, last in ((1, 25), (11, 35)):
+        _land_feeds(spark, sf, landing, first, last, RUN_TS + datetime.timedelta(minutes=last))
+        stream = T.article_stream(
+            feeds.stream_feed_documents(spark, landing), _registry(spark), pages, store, records, state, RUN_TS,
+            settings, steps, available_now=True,
+        )
+        stream.awaitTermination()
+    return store.read().select("url", "title", "content", "source", F.col("analysis.isCommercial").alias("is_commercial"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in [
@@ -835,6 +881,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         near_dup_content, embedding_neighbors, commercial_flag, significance, lead_summary,
         top_tag, prompt_build, prompt_budget, source_summary, tag_rollup, enrich,
         article_pipeline, stream_dedup, stream_counts, snapshot_ttl, stream_intake,
-        stream_retention,
+        stream_retention, stream_articles,
     ]
 }

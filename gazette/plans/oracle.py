@@ -195,7 +195,7 @@ def commercial(x: str) -> str:
 HISTORY = r"""hist as (
   select string_agg(n || '. ' || title, chr(10) order by n) as history from (
     select row_number() over (order by doc_id) as n, title from (
-      select doc_id, title from docs order by doc_id desc limit 20)))"""
+      select doc_id, title from docs order by doc_id desc limit 400)))"""
 
 PROMPT = (
     "'Analyser cet article d''actualité.' || chr(10) || 'TITRE: ' || title || chr(10) || 'CONTENU: '"
@@ -251,10 +251,10 @@ ORACLES: dict[str, str] = {
       select source as feed_url, 0 as pos, trim(title, {BLANKS}) as title, link, trim(text, {BLANKS}) as summary,
              '-' as content, strftime(timestamp '2024-01-01' + to_minutes(doc_id), {ISO}) as published,
              'https://h/' || doc_id || '.jpg' as image_url, '-' as media
-      from docs where doc_id % 9 <> 0
+      from docs
       union all
       select source, 1, 'second', link || '/2', 'd' || doc_id, 'c', '2024-02-03T03:05:06', '-', 'https://h/m.jpg'
-      from docs where doc_id % 9 <> 0""",
+      from docs""",
     "entry_date": f"""select event_id, case when event_id % 6 = 5 then 'none' else strftime(ts, {ISO}) end as published
       from events""",
     "enclosure_image": """select doc_id, case
@@ -290,8 +290,8 @@ ORACLES: dict[str, str] = {
       select doc_id, case when doc_id % 3 = 0 and e_id is not null then 'https://h/enclosure/' || e_id
         else 'https://h/page/' || doc_id end as image_url
       from docs left join f on f.l = 'www.jeuxvideo.com/' || md5(title)""",
-    "article_content": f"""select page_id, case when page_id % 10 = 0 then 'summary of ' || url
-        else {article_text('html')} end as content from pages""",
+    "article_content": f"""select page_id, 'https://news.example/a/' || page_id as link, {article_text('html')} as content from pages
+      union all select page_id, 'https://failed.example/' || page_id, 'summary of ' || url from pages where page_id % 10 = 0""",
     "main_image": """select 'https://news.example/a/' || page_id as url, case page_id % 6
         when 0 then 'https://h/og' || page_id || '.jpg'
         when 1 then 'https://h/tw' || page_id || '.jpg'
@@ -466,16 +466,21 @@ ORACLES: dict[str, str] = {
     "stream_dedup": f"""select event_type as feed_url, {EVENT_LINK} as link, strftime(ts, {ISO}) as fetched_at from events""",
     "stream_counts": f"""with w as (select time_bucket(interval 10 minutes, ts) as s, event_type, count(*) as arrivals
         from events group by 1, 2)
-      select strftime(s, {ISO}) as window_start, event_type as feed_url, arrivals from w
-      where s + interval 10 minutes <= (select max(ts) - interval 1 hour from events)""",
+      select strftime(s, {ISO}) as window_start, event_type as feed_url, arrivals from w""",
     "snapshot_ttl": f"""with w as (select time_bucket(interval 5 minutes, ts) as s, event_type,
         arg_min(event_id, ts) as first_id, min(ts) as first_ts, count(*) as snapshots from events group by 1, 2)
       select strftime(s, {ISO}) as window_start, event_type as feed_url, 'https://news.example/e/' || first_id as link,
-        strftime(first_ts, {ISO}) as fetched_at, snapshots from w
-      where s + interval 5 minutes <= (select max(ts) - interval 1 hour from events)""",
+        strftime(first_ts, {ISO}) as fetched_at, snapshots from w""",
     "stream_intake": f"""select {EVENT_LINK} as url, case when event_type = 'purchase' then 'known' else event_type end as source,
         strftime(ts, {ISO}) as date from events""",
     "stream_retention": f"""with r as (select *, row_number() over (order by ts, event_id) as rn from events)
       select {EVENT_LINK} as url, case when event_type = 'purchase' then 'known' else event_type end as source,
         strftime(ts, {ISO}) as date from r where rn > 100 or (select count(*) from events) <= 400""",
+    "stream_articles": f"""with {DOCS}, ranked as (
+      select *, row_number() over (partition by source order by doc_id) as rk from docs),
+      a as (select link, title, feed_ord, coalesce(nullif({article_text('html')}, ''), trim(text, {BLANKS})) as raw
+        from ranked left join pages on page_id = doc_id where rk <= 30 and feed_ord < 18),
+      c as (select *, {cleaned('raw')} as content from a)
+      select link as url, translate(title, '"«»', '''''''') as title, translate(content, '"«»', '''''''') as content,
+        'Feed ' || feed_ord as source, len({commercial("(title || ' ' || content)")}) >= 2 as is_commercial from c""",
 }

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import datetime
+from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazette.common import stage
 from gazette.functions.text import clean_content
 from gazette.operators import content as C
 from gazette.operators import enrichment as E
+from gazette.operators import logs as L
 from gazette.operators import records as R
 from gazette.operators import retention as N
 from gazette.operators import selection as S
@@ -41,8 +44,9 @@ def assemble_article(articles: DataFrame, history: DataFrame, settings: Settings
     first_new = cleaned.agg(F.min("id")).first()[0]
     matches = similar_titles(titles, settings.min_title_jaccard, since=first_new)
     flagged = duplicate_flags(cleaned, matches, titles)
-    summary = E.lead_summary(cleaned.select("id", "text"))
-    tag = E.top_tag(cleaned.select("id", "text"))
+    texts = cleaned.select("id", "text")
+    terms = E.weighed_terms(texts)
+    summary, tag = E.lead_summary(texts, terms=terms), E.top_tag(texts, terms)
     joined = flagged.join(summary, "id", "left").join(tag, "id", "left")
     hits = E.commercial_hits(F.concat_ws(" ", "title", "text"))
     return joined.withColumn("commercial_hits", hits).withColumns(
@@ -57,15 +61,44 @@ def article_pipeline(
     articles: DataFrame,
     history: DataFrame,
     settings: Settings = Settings(),
-    scorer: E.Scorer = E.criteria_scorer,
+    scorer: E.Scorer | None = None,
+    inputs: tuple[str, ...] = E.CRITERIA,
+    prompts: bool = False,
 ) -> DataFrame:
-    """Cleaned and scored articles with the analysis flattened next to them."""
-    assembled = stage(assemble_article(articles, history, settings), "assembled").df
-    scored = E.enrich(assembled, scorer)
-    keep = [c for c in articles.columns if c != "content"] + ["text", "commercial_hits"]
+    """Cleaned and scored articles with the analysis flattened next to them.
+
+    A scorer is given the columns ``inputs``, which may name ``prompt``: with ``prompts`` the text sent to a
+    model is built of the article and the titles of the history, as many as ``prompt_history`` says.
+    """
+    assembled = assemble_article(articles, history, settings)
+    if prompts:
+        past = E.recent_titles(history.withColumnRenamed("id", "ingest_ord"), settings.prompt_history).scalar()
+        assembled = assembled.withColumn("prompt", E.build_prompt(F.col("title"), F.col("text"), past, settings))
+    assembled = stage(assembled, "assembled").df
+    scored = E.enrich(assembled, scorer, inputs)
+    keep = [c for c in articles.columns if c != "content"] + ["text", "commercial_hits"] + ["prompt"] * prompts
     return assembled.select(*keep).join(scored, "link")
 
 
+@dataclass(frozen=True)
+class Steps:
+    """What a run may be given beside its tables.
+
+    ``scorer`` and ``inputs`` as in ``article_pipeline``; ``deliver`` maps page records to (link, status,
+    page_id), without it every record counts as delivered under the md5 of its link; ``rewrites``
+    (image_url, new_url) are re-hosted pictures of ``rewritten`` sources; ``parent`` is the page store the records go to;
+    ``log_path`` is where prompts and answers are logged while the settings say so.
+    """
+
+    scorer: E.Scorer | None = None
+    inputs: tuple[str, ...] = E.CRITERIA
+    deliver: Callable[[DataFrame], DataFrame] | None = None
+    rewrites: DataFrame | None = None
+    rewritten: tuple[str, ...] = ("JVC",)
+    parent: str | None = None
+    log_path: str | None = None
+
+
 def run_intake(
     spark: SparkSession,
     entries: DataFrame,
@@ -74,40 +107,42 @@ def run_intake(
     store: LedgerStore,
     run_ts: datetime.datetime,
     settings: Settings = Settings(),
-    run: int | None = None,
-    scorer: E.Scorer = E.criteria_scorer,
-    deliver=None,
+    run: str | None = None,
+    steps: Steps = Steps(),
 ) -> DataFrame:
     """One intake run: select, fetch text, score, record, append to the ledger, retain.
 
-    ``deliver`` maps page records to (link, status, page_id); without it every record
-    counts as delivered under the md5 of its link. Returns the page records. Repeating a
-    run with the same number gives the same ledger.
+    Returns the page records. Repeating the latest run under its name gives the same ledger, log and
+    archive. A run without new articles compares nothing, and only retains.
     """
-    run = store.next_run() if run is None else run
-    before = store.read(before=run)
-    chosen = select_articles(entries, registry, before, settings)
-    fetched = C.attach_content(chosen, C.article_content(pages.join(chosen.select(F.col("link").alias("url")), "url", "left_semi")))
-    top = store.last_ord(run)
-    articles = stage(
-        fetched.select(
-            "link", "title", "content", "published_date",
-            F.coalesce("page_image", "image_url").alias("image_url"),
-            F.col("feed_name").alias("source"),
-            (top + 1 + F.monotonically_increasing_id()).alias("id"),
-        ),
-        "chosen",
-    ).df
-    history = before.select(F.col("ingest_ord").alias("id"), "title")
-    scored = article_pipeline(articles, history, settings, scorer)
-    answered = stage(
-        articles.join(scored.select("link", F.col("answer").alias("analysis")), "link"), "scored"
-    ).df
-    records = stage(R.page_record(answered, settings), "records").df
-    if deliver is None:
+    run = store.new_run() if run is None else run
+    before = store.read(besides=run)
+    selected = stage(select_articles(entries, registry, before, settings), "selected")
+    chosen = selected.df
+    if selected.rows:
+        wanted = pages.join(chosen.select(F.col("link").alias("url")), "url", "left_semi")
+        articles = _articles(chosen, wanted, store.last_ord(run), steps)
+    else:
+        articles = _articles(chosen, pages.limit(0), F.lit(-1), steps)
+    articles = stage(articles, "chosen").df
+    logged = settings.log_interactions and steps.log_path is not None
+    if selected.rows:
+        history = before.select(F.col("ingest_ord").alias("id"), "title")
+        prompts = logged or "prompt" in steps.inputs
+        scored = article_pipeline(articles, history, settings, steps.scorer, steps.inputs, prompts)
+        scored = stage(scored, "answers").df
+        answered = articles.join(scored.select("link", F.col("answer").alias("analysis")), "link")
+    else:
+        answered = articles.withColumn("analysis", F.lit(None).cast("string"))
+    answered = stage(answered, "scored").df
+    if logged and selected.rows:
+        asked = scored.select("link", "prompt", F.col("answer").alias("response"))
+        L.write_log(L.interaction_log(asked, run_ts.date(), True), steps.log_path, run_ts.date(), run)
+    records = stage(R.page_record(answered, settings, steps.parent), "records").df
+    if steps.deliver is None:
         outcome = records.select("link", F.lit(200).alias("status"), F.md5("link").alias("page_id"))
     else:
-        outcome = deliver(records)
+        outcome = steps.deliver(records)
     # a later answer about the same page must see the numbers given here
     rows = stage(
         R.ledger_rows(answered.join(outcome, "link"), run_ts).drop("ingest_ord")
@@ -119,27 +154,43 @@ def run_intake(
     return records
 
 
-def apply_retention(ledger: DataFrame, store: LedgerStore, run: int, settings: Settings) -> DataFrame:
+def _articles(chosen: DataFrame, pages: DataFrame, top: Column, steps: Steps) -> DataFrame:
+    """Chosen entries with the text of their pages and the picture that goes on, numbered after ``top``."""
+    fetched = C.attach_content(chosen, C.article_content(pages)).select(
+        "link", "title", "content", "published_date",
+        F.coalesce("page_image", "image_url").alias("image_url"),
+        F.col("feed_name").alias("source"),
+    )
+    if "is_site_enclosure" in chosen.columns:
+        fetched = C.override_image(fetched.withColumnRenamed("link", "url"), chosen, spread="url").withColumnRenamed("url", "link")
+    if steps.rewrites is not None:
+        fetched = C.rewrite_image(fetched, steps.rewrites, steps.rewritten)
+    return fetched.withColumn("id", top + 1 + F.monotonically_increasing_id())
+
+
+def apply_retention(ledger: DataFrame, store: LedgerStore, run: str, settings: Settings) -> DataFrame:
     """Trim the ledger including this run's rows; returns the remote pages to archive, which
-    the store keeps as well."""
-    kept, removed = N.retain(ledger, settings.auto_clean_threshold, settings.clean_remove_count)
-    archive = stage(N.archive_set(removed), "archive").df
-    if not removed.isEmpty():
-        store.keep_archive(archive, run)
-        store.replace(kept, run)
+    the store keeps as well. What is written is the removed rows' numbers."""
+    _, oldest = N.retain(ledger, settings.auto_clean_threshold, settings.clean_remove_count)
+    removed = stage(oldest.select("ingest_ord", "page_id", "url", "title"), "removed").df
+    archive = N.archive_set(removed)
+    store.keep_archive(archive, run)
+    store.remove(removed, run)
     return archive
 
 
 def run_purge(
-    listing: DataFrame, outcomes: DataFrame, store: LedgerStore, logs: DataFrame
+    listing: DataFrame, outcomes: DataFrame, store: LedgerStore, logs: DataFrame, log_path: str | None = None
 ) -> DataFrame:
-    """Remove archived pages from the ledger and report.
+    """Remove archived pages from the ledger, delete the days of the log, and report.
 
     ``outcomes`` has (page_id, status) of the archive requests for ``listing``.
     """
-    run = store.next_run()
-    ledger = store.read(before=run)
+    ledger = store.read()
     joined = stage(listing.join(outcomes, "page_id", "left"), "outcomes").df
     report = stage(N.purge_report(joined, ledger, logs), "report").df
-    store.replace(N.remove_by_url(ledger, joined.where("status = 200")), run)
+    gone = joined.where("status = 200").select("url").where("url is not null and url <> ''").distinct()
+    store.remove(stage(ledger.select("ingest_ord", "url").join(gone, "url", "left_semi"), "purged").df)
+    if log_path is not None:
+        L.purge_logs(store.spark, log_path)
     return report

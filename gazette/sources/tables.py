@@ -19,3 +19,11 @@ def read_spread(spark: SparkSession, path: str) -> DataFrame:
     table = read_table(spark, path)
     cores = spark.sparkContext.defaultParallelism
     return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
+def read_if_any(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A Parquet table that may not have been written yet: empty until it is."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.read.schema(schema).parquet(path)
+    return spark.createDataFrame([], schema)

@@ -100,9 +100,12 @@ def test_interaction_log(spark, tmp_path):
     entry = log.where("prompt = 'p'").first()
     assert "PROMPT:\np\n" in entry["entry"] and (entry["prompt_chars"], entry["response_chars"]) == (1, 1)
     path = str(tmp_path / "log")
-    L.append_log(log, path)
-    L.append_log(L.interaction_log(pairs, datetime.date(2024, 5, 7), True), path)
-    assert spark.read.parquet(path).count() == 4
+    later = datetime.date(2024, 5, 7)
+    for _ in range(2):  # a repeated run overwrites what it wrote
+        L.write_log(log, path, day, "a")
+        L.write_log(L.interaction_log(pairs, later, True), path, later, "b")
+    written = L.read_log(spark, path).select("log_date", "run", "prompt")
+    assert sorted(map(tuple, written.collect())) == [(day, "a", "p"), (day, "a", "q"), (later, "b", "p"), (later, "b", "q")]
     assert L.purge_logs(spark, path) == 2 and L.purge_logs(spark, path) == 0
     assert Settings().log_interactions is False
 
@@ -110,3 +113,33 @@ def test_interaction_log(spark, tmp_path):
 def test_short_words_can_be_tags(spark):
     documents = spark.createDataFrame([(1, "F1 F1 IA"), (2, "IA")], "id long, text string")
     assert {r["id"]: r["tag"] for r in E.top_tag(documents).collect()} == {1: "F1", 2: "Ia"}
+
+
+def test_terms_are_weighed_alike_on_both_ways(spark, plan_of):
+    texts = ["Un deux deux. Trois un!\nDeux", "un quatre", None, "", "deux. deux? trois trois trois"]
+    documents = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    few, many = E.weighed_terms(documents), E.weighed_terms(documents, broadcast=0)
+    rows = lambda df: sorted(map(tuple, df.select("id", "pos", "term", "idf").collect()))
+    assert rows(few) == rows(many) and len(rows(few)) == 13
+    # terms of a document stay where the document was dealt: one exchange in all
+    tags = plan_of(E.top_tag(documents, few))
+    assert tags.count("Exchange hashpartitioning") == 1 and "hashpartitioning(id" in tags
+    assert sorted(map(tuple, E.top_tag(documents, many).collect())) == sorted(map(tuple, E.top_tag(documents, few).collect()))
+
+
+def test_a_wrong_number_of_answers_is_a_failure(spark):
+    rows = spark.createDataFrame([("a", "t"), ("b", "u")], "link string, title string").coalesce(1)
+    got = E.enrich(rows, lambda batch: batch["title"].iloc[:1] if len(batch) > 1 else batch["title"], ("title",)).collect()
+    assert {r["link"]: (r["answer"], r["failure"]) for r in got} == {"a": ("t", None), "b": ("u", None)}
+
+
+def test_native_answers_need_no_python(spark, plan_of):
+    row = spark.createDataFrame(
+        [("l", True, "x", 'a "b"', False, 2.5, "s\n", "T"), ("m", False, None, None, True, 10.0, None, None)],
+        "link string, is_double boolean, similar_article string, similarity_reason string, is_commercial boolean, significance double, summary string, tag string",
+    )
+    scored = E.enrich(row)
+    assert "MapInPandas" not in plan_of(scored)
+    got = {r["link"]: r for r in scored.collect()}
+    assert (got["l"]["isDouble"], got["l"]["similarityReason"], got["l"]["tags"], got["l"]["parse_ok"]) == (True, 'a "b"', ["T"], True)
+    assert (got["m"]["similarArticle"], got["m"]["summary"], got["m"]["tags"], got["m"]["significanceScore"]) == (None, "", [], 10.0)

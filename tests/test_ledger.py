@@ -44,16 +44,20 @@ def test_strict_import_fails_on_corrupt_files(spark):
 
 def test_store_repeats_a_run_without_doubling(spark, tmp_path):
     store = L.LedgerStore(spark, str(tmp_path / "ledger"))
-    assert store.read().count() == 0 and store.next_run() == 0
-    store.append(rows(spark, [(0, "a", None, None)]), 0)
-    store.append(rows(spark, [(1, "b", None, None)]), 1)
-    store.append(rows(spark, [(1, "b", None, None)]), 1)
+    assert store.read().count() == 0 and store.new_run() != store.new_run()
+    store.append(rows(spark, [(0, "a", None, None)]), "r0")
+    store.append(rows(spark, [(1, "b", None, None)]), "r1")
+    store.append(rows(spark, [(1, "b", None, None)]), "r1")
     assert sorted(r["url"] for r in store.read().collect()) == ["a", "b"]
-    assert [r["url"] for r in store.read(before=1).collect()] == ["a"]
-    store.replace(rows(spark, [(1, "b", None, None)]), 1)
-    store.append(rows(spark, [(2, "c", None, None)]), 2)
+    assert [r["url"] for r in store.read(besides="r1").collect()] == ["a"]
+    store.remove(store.read().where("url = 'a'"), "r1")
+    store.append(rows(spark, [(2, "c", None, None)]), "r2")
     assert sorted(r["url"] for r in store.read().collect()) == ["b", "c"]
-    assert [r["url"] for r in store.read(before=1).collect()] == ["a"]
+    assert sorted(r["url"] for r in store.read(besides="r1").collect()) == ["a", "c"]
+    # a removed row's number is never given again
+    assert spark.range(1).select(store.last_ord()).first()[0] == 2
+    with pytest.raises(ValueError):
+        store.append(rows(spark, []), "r/1")
     store.clear()
     assert store.read().count() == 0
 
@@ -168,8 +172,10 @@ def test_imports_are_numbered_after_what_the_store_holds(spark, tmp_path):
 def test_store_keeps_the_pages_to_archive(spark, tmp_path):
     store = L.LedgerStore(spark, str(tmp_path / "ledger"))
     assert store.to_archive().count() == 0
-    store.append(rows(spark, [(0, "a", day(1), "p1"), (1, "b", day(2), None), (2, "c", day(3), "p3")]), 0)
-    archive = apply_retention(store.read(), store, 1, Settings(auto_clean_threshold=2, clean_remove_count=2))
+    store.append(rows(spark, [(0, "a", day(1), "p1"), (1, "b", day(2), None), (2, "c", day(3), "p3")]), "r0")
+    archive = apply_retention(store.read(), store, "r1", Settings(auto_clean_threshold=2, clean_remove_count=2))
     assert [r["page_id"] for r in archive.collect()] == ["p1"]
-    assert [(r["page_id"], r["run"]) for r in store.to_archive().collect()] == [("p1", 1)]
+    assert [(r["page_id"], r["run"]) for r in store.to_archive().collect()] == [("p1", "r1")]
+    # what is removed is written, not what stays
+    assert spark.read.parquet(f"{store.path}/removed/run=r1").count() == 2
     assert [r["url"] for r in store.read().collect()] == ["c"]

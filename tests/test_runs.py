@@ -3,6 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from gazette.common import new_folder
+from gazette.operators.logs import read_log
 from gazette.plans import runs
 from gazette.schemas import FEED_DOCUMENT, Settings
 from gazette.sources import feeds
@@ -40,7 +41,7 @@ SECOND = [("u1", None, feed([("Le grand test de la console", "l4", "s", "2024-02
 def test_intake_then_retention_then_purge(spark):
     store = LedgerStore(spark, new_folder(spark, "ledger"))
     settings = Settings(max_articles_per_feed=2, auto_clean_threshold=3, clean_remove_count=2)
-    records = intake(spark, store, FIRST, settings)
+    records = intake(spark, store, FIRST, settings, run="first")
     got = {r["link"]: r["record"]["properties"] for r in records.collect()}
     assert sorted(got) == ["l1", "l2", "l3"]
     assert got["l1"]["Contenu"]["rich_text"][0]["text"]["content"] == "Texte complet. Promotion : 20 €"
@@ -52,7 +53,7 @@ def test_intake_then_retention_then_purge(spark):
     assert len({r["ingest_ord"] for r in ledger.values()}) == 3
 
     # same run again: same ledger
-    intake(spark, store, FIRST, settings, run=0)
+    intake(spark, store, FIRST, settings, run="first")
     assert sorted(r["url"] for r in store.read().collect()) == ["l1", "l2", "l3"]
 
     records = intake(spark, store, SECOND, settings)
@@ -63,7 +64,10 @@ def test_intake_then_retention_then_purge(spark):
 
     listing = spark.createDataFrame([("p1", "l1", "t"), (None, "l4", "t"), ("p3", None, "t")], "page_id string, url string, title string")
     outcomes = spark.createDataFrame([("p1", 200), ("p3", 500)], "page_id string, status int")
-    report = runs.run_purge(listing, outcomes, store, spark.createDataFrame([], "log_date string")).first()
+    logs = new_folder(spark, "logs")
+    spark.range(1).write.parquet(f"{logs}/log_date=2024-06-01/run=a")
+    report = runs.run_purge(listing, outcomes, store, spark.createDataFrame([], "log_date string"), logs).first()
+    assert read_log(spark, logs).count() == 0
     assert (report["total_pages"], report["archived_pages"], report["errors"], report["ledger_removed"]) == (3, 1, 2, 1)
     assert [r["url"] for r in store.read().collect()] == ["l4"]
 
@@ -74,7 +78,7 @@ def test_only_delivered_articles_reach_the_ledger(spark):
     def deliver(records):
         return records.select("link", F.when(F.col("link") == "l1", 200).otherwise(503).alias("status"), F.lit("id").alias("page_id"))
 
-    intake(spark, store, FIRST, Settings(max_articles_per_feed=2), deliver=deliver)
+    intake(spark, store, FIRST, Settings(max_articles_per_feed=2), steps=runs.Steps(deliver=deliver))
     assert [(r["url"], r["page_id"]) for r in store.read().collect()] == [("l1", "id")]
 
 
@@ -85,3 +89,29 @@ def test_selection_runs_before_text_and_python(spark, plan_of):
     ledger = spark.createDataFrame([], "url string")
     plan = plan_of(runs.select_articles(entries, registry, ledger, Settings()))
     assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan
+
+
+def test_a_run_without_new_articles_compares_nothing(spark, monkeypatch):
+    store, settings = LedgerStore(spark, new_folder(spark, "ledger")), Settings(max_articles_per_feed=2)
+    intake(spark, store, FIRST, settings)
+    monkeypatch.setattr(runs, "similar_titles", None)
+    monkeypatch.setattr(runs, "article_pipeline", None)
+    assert intake(spark, store, FIRST, settings).count() == 0
+    assert sorted(r["url"] for r in store.read().collect()) == ["l1", "l2", "l3"]
+
+
+def test_pictures_of_a_run(spark):
+    site = feeds.ENCLOSURE_SITE
+    item = lambda link: (
+        f"<item><title>t {link}</title><link>https://{site}/{link}</link><description>d</description>"
+        f'<enclosure type="image/jpeg" url="https://h/{link}.jpg"/></item>'
+    )
+    documents = [(f"https://{site}/rss", None, f"<rss><channel>{item('a')}{item('b')}</channel></rss>")]
+    entries = feeds.rss_entries(spark.createDataFrame(documents, FEED_DOCUMENT))
+    registry = feeds.feed_registry(spark, [(f"https://{site}/rss", "JVC")])
+    pages = spark.createDataFrame([(f"https://{site}/a", "<article>x</article><meta property='og:image' content='https://h/page.jpg'>")], "url string, html string")
+    rewrites = spark.createDataFrame([("https://h/b.jpg", "https://own/b.jpg")], "image_url string, new_url string")
+    store = LedgerStore(spark, new_folder(spark, "ledger"))
+    runs.run_intake(spark, entries, registry, pages, store, RUN, Settings(), steps=runs.Steps(rewrites=rewrites))
+    held = {r["url"][-1]: r["image_url"] for r in store.read().collect()}
+    assert held == {"a": "https://h/a.jpg", "b": "https://own/b.jpg"}
