@@ -48,10 +48,13 @@ def entry_image(entries: DataFrame, cache: DataFrame, scraped: DataFrame) -> Dat
     """Picture of each entry: summary, content, media content, media thumbnail, then the
     cache, then the scraped picture of a domain that needs scraping.
 
-    ``cache`` and ``scraped`` hold (link, image_url), one row per link. The cleaned title
-    comes along, as both belong to the same step on an entry.
+    ``cache`` and ``scraped`` hold (link, image_url); of several rows of a link one counts, the last in the
+    order of its pictures. The cleaned title comes along, as both belong to the same step on an entry.
     """
 
+    def one(pictures, name):
+        return pictures.groupBy("link").agg(F.max("image_url").alias(name))
+
     def checked(url):
         return F.when(valid_feed_image(url), url)
 
@@ -64,8 +67,8 @@ def entry_image(entries: DataFrame, cache: DataFrame, scraped: DataFrame) -> Dat
     joined = (
         entries.withColumn("title", clean_title(F.col("title")))
         .withColumn("feed_image", from_feed)
-        .join(cache.select("link", F.col("image_url").alias("cached_image")), "link", "left")
-        .join(scraped.select("link", F.col("image_url").alias("scraped_image")), "link", "left")
+        .join(one(cache, "cached_image"), "link", "left")
+        .join(one(scraped, "scraped_image"), "link", "left")
     )
     usable = needs_scraping(F.col("link")) & valid_feed_image(F.col("scraped_image"))
     return joined.withColumn(

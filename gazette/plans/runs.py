@@ -21,6 +21,7 @@ from gazette.operators.similarity import duplicate_flags, similar_titles
 from gazette.schemas import Settings
 from gazette.sources.feeds import complete_entries
 from gazette.sources.ledger import LedgerStore
+from gazette.sources.pages import keep_images, read_image_cache
 
 
 def select_articles(
@@ -87,7 +88,8 @@ class Steps:
     ``scorer`` and ``inputs`` as in ``article_pipeline``; ``deliver`` maps page records to (link, status,
     page_id), without it every record counts as delivered under the md5 of its link; ``rewrites``
     (image_url, new_url) are re-hosted pictures of ``rewritten`` sources; ``parent`` is the page store the records go to;
-    ``log_path`` is where prompts and answers are logged while the settings say so.
+    ``log_path`` is where prompts and answers are logged while the settings say so; ``image_path`` is the cache of
+    pictures, which serves articles without one and gets those that the run finds.
     """
 
     scorer: E.Scorer | None = None
@@ -97,6 +99,7 @@ class Steps:
     rewritten: tuple[str, ...] = ("JVC",)
     parent: str | None = None
     log_path: str | None = None
+    image_path: str | None = None
 
 
 def run_intake(
@@ -119,12 +122,17 @@ def run_intake(
     before = store.read(besides=run)
     selected = stage(select_articles(entries, registry, before, settings), "selected")
     chosen = selected.df
+    cached = None
+    if steps.image_path is not None:
+        cached = read_image_cache(spark, steps.image_path, chosen, besides=run)
     if selected.rows:
         wanted = pages.join(chosen.select(F.col("link").alias("url")), "url", "left_semi")
-        articles = _articles(chosen, wanted, store.last_ord(run), steps)
+        articles = _articles(chosen, wanted, store.last_ord(run), steps, cached)
     else:
-        articles = _articles(chosen, pages.limit(0), F.lit(-1), steps)
+        articles = _articles(chosen, pages.limit(0), F.lit(-1), steps, cached)
     articles = stage(articles, "chosen").df
+    if steps.image_path is not None:
+        keep_images(articles, steps.image_path, run_ts, run)
     logged = settings.log_interactions and steps.log_path is not None
     if selected.rows:
         history = before.select(F.col("ingest_ord").alias("id"), "title")
@@ -154,7 +162,7 @@ def run_intake(
     return records
 
 
-def _articles(chosen: DataFrame, pages: DataFrame, top: Column, steps: Steps) -> DataFrame:
+def _articles(chosen: DataFrame, pages: DataFrame, top: Column, steps: Steps, cached: DataFrame | None) -> DataFrame:
     """Chosen entries with the text of their pages and the picture that goes on, numbered after ``top``."""
     fetched = C.attach_content(chosen, C.article_content(pages)).select(
         "link", "title", "content", "published_date",
@@ -163,6 +171,9 @@ def _articles(chosen: DataFrame, pages: DataFrame, top: Column, steps: Steps) ->
     )
     if "is_site_enclosure" in chosen.columns:
         fetched = C.override_image(fetched.withColumnRenamed("link", "url"), chosen, spread="url").withColumnRenamed("url", "link")
+    if cached is not None:
+        known = cached.withColumnRenamed("image_url", "_cached")
+        fetched = fetched.join(known, "link", "left").withColumn("image_url", F.coalesce("image_url", "_cached")).drop("_cached")
     if steps.rewrites is not None:
         fetched = C.rewrite_image(fetched, steps.rewrites, steps.rewritten)
     return fetched.withColumn("id", top + 1 + F.monotonically_increasing_id())

@@ -1,26 +1,19 @@
-"""Scraped article pages, the remote page listing and cached lookups."""
+"""The remote page listing and cached pictures."""
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazette.schemas import PAGE_BATCH
+from gazette.sources.tables import read_if_any
 
 # Fixed value: title of a remote page that has none.
 NO_TITLE = "Sans titre"
 
 
-def read_article_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Landed pages (url, html); html is null when the fetch failed."""
-    return spark.read.parquet(path).select("url", "html")
-
-
-def read_page_batches(spark: SparkSession, path: str) -> DataFrame:
-    """Exported listing responses, one JSON document per line."""
-    return spark.read.text(path).select(parse_page_batch(F.col("value")).alias("batch"))
-
-
 def parse_page_batch(c: Column) -> Column:
     """A listing response as a struct."""
     return F.from_json(c, PAGE_BATCH)
@@ -37,11 +30,19 @@ def page_listing(batches: DataFrame, batch: str = "batch") -> DataFrame:
     )
 
 
-def read_image_cache(spark: SparkSession, path: str) -> DataFrame:
-    """Cached pictures (link, image_url)."""
-    return spark.read.schema("link string, image_url string").parquet(path)
+def read_image_cache(spark: SparkSession, path: str, links: DataFrame, besides: str | None = None) -> DataFrame:
+    """Newest cached picture (link, image_url) of each of the ``links`` (link); with ``besides`` as if that run had
+    not been."""
+    kept = read_if_any(spark, path, "link string, image_url string, found_at timestamp_ntz, run string")
+    if besides is not None:
+        kept = kept.where(F.col("run") != besides)
+    asked = kept.join(links.select("link"), "link", "left_semi")
+    return asked.groupBy("link").agg(F.max_by("image_url", F.struct("found_at", "run")).alias("image_url"))
 
 
-def write_image_cache(cache: DataFrame, path: str) -> None:
-    """Replace the cached pictures."""
-    cache.select("link", "image_url").write.mode("overwrite").parquet(path)
+def keep_images(pictures: DataFrame, path: str, at: datetime.datetime, run: str) -> None:
+    """Add the pictures (link, image_url) that a run found; newer ones come before those of earlier runs, and a
+    repeated run overwrites its own."""
+    found = pictures.where("link is not null and image_url is not null").groupBy("link").agg(F.max("image_url").alias("image_url"))
+    stamped = found.withColumn("found_at", F.lit(at).cast("timestamp_ntz"))
+    stamped.write.mode("overwrite").parquet(f"{path}/run={run}")

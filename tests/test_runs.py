@@ -3,6 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from gazette.common import new_folder
+from gazette.operators import content as C
 from gazette.operators.logs import read_log
 from gazette.plans import runs
 from gazette.schemas import FEED_DOCUMENT, Settings
@@ -100,6 +101,30 @@ def test_a_run_without_new_articles_compares_nothing(spark, monkeypatch):
     assert sorted(r["url"] for r in store.read().collect()) == ["l1", "l2", "l3"]
 
 
+def test_a_run_finds_the_pictures_of_earlier_ones(spark):
+    images, store = new_folder(spark, "images"), LedgerStore(spark, new_folder(spark, "ledger"))
+    registry = feeds.feed_registry(spark, [("u1", "Un")])
+    entries = feeds.rss_entries(spark.createDataFrame([("u1", None, feed([("t", "l1", "s", ""), ("u", "l2", "s", "")]))], FEED_DOCUMENT))
+    page = "<article>x</article><meta property='og:image' content='https://h/{}.jpg'>"
+    pages = lambda *rows: spark.createDataFrame(rows, "url string, html string")
+    lost = lambda records: records.select("link", F.lit(500).alias("status"), F.lit(None).cast("string").alias("page_id"))
+    run = lambda p, at, steps: runs.run_intake(spark, entries, registry, p, store, at, Settings(), at.strftime("%H%M"), steps)
+    # nothing is delivered, so the next run meets the same articles, whose pages can't be fetched any more
+    run(pages(("l1", page.format("old")), ("l2", None)), RUN, runs.Steps(deliver=lost, image_path=images))
+    run(pages(("l1", page.format("new"))), RUN + dt.timedelta(minutes=1), runs.Steps(deliver=lost, image_path=images))
+    run(pages(), RUN + dt.timedelta(minutes=2), runs.Steps(image_path=images))
+    assert {r["url"]: r["image_url"] for r in store.read().collect()} == {"l1": "https://h/new.jpg", "l2": None}
+
+
+def test_pictures_with_several_rows_multiply_nothing(spark):
+    entries = spark.createDataFrame(
+        [("https://clubic.com/1", "t", "", "", [], [])],
+        "link string, title string, summary string, content string, media_content array<string>, media_thumbnail array<string>",
+    )
+    twice = spark.createDataFrame([("https://clubic.com/1", "https://h/a.jpg"), ("https://clubic.com/1", "https://h/b.jpg")], "link string, image_url string")
+    assert [r["image_url"] for r in C.entry_image(entries, twice, twice).collect()] == ["https://h/b.jpg"]
+
+
 def test_pictures_of_a_run(spark):
     site = feeds.ENCLOSURE_SITE
     item = lambda link: (
