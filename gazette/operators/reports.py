@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gazette.sources.tables import read_if_any
+
+#: Logarithm of a sketch's registers: 4,096 of them give a standard error below 2 in 100.
+SKETCH_BITS = 12
+
 
 def source_summary(articles: DataFrame) -> DataFrame:
     """Per source: articles, links, commercial and duplicate share, mean score.
@@ -34,3 +39,24 @@ def tag_rollup(articles: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("articles"),
         F.round(F.avg("score"), 4).alias("mean_score"),
     )
+
+
+def link_sketches(articles: DataFrame) -> DataFrame:
+    """Per source a sketch of its distinct links (source, url), which can be united with those of other runs."""
+    return articles.groupBy("source").agg(F.hll_sketch_agg("url", F.lit(SKETCH_BITS)).alias("links"))
+
+
+def write_link_sketches(articles: DataFrame, path: str, run: str) -> None:
+    """Keep the sketches of a run; a repeated run overwrites its own."""
+    link_sketches(articles).write.mode("overwrite").parquet(f"{path}/run={run}")
+
+
+def read_link_sketches(spark: SparkSession, path: str) -> DataFrame:
+    """Sketches (source, links, run) of all runs."""
+    return read_if_any(spark, path, "source string, links binary, run string")
+
+
+def link_counts(sketches: DataFrame) -> DataFrame:
+    """Approximate number of distinct links per source over all runs, from their sketches alone."""
+    united = F.hll_union_agg("links")
+    return sketches.groupBy("source").agg(F.hll_sketch_estimate(united).alias("links"))

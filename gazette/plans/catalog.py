@@ -691,6 +691,20 @@ def source_summary(spark: SparkSession, sf: str) -> DataFrame:
     return P.source_summary(_delivered(spark, sf))
 
 
+def source_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Links per source from sketches of eight runs, each document being in two of them: all within 8 in 100 of
+    the exact number."""
+    path = new_folder(spark, "link-sketches")
+    docs = _documents(spark, sf).selectExpr("source", "link as url", "doc_id % 8 as run")
+    both = docs.unionByName(docs.withColumn("run", (F.col("run") + 3) % 8))
+    sketched = both.groupBy("run", "source").agg(F.hll_sketch_agg("url", F.lit(P.SKETCH_BITS)).alias("links"))
+    sketched.write.partitionBy("run").parquet(path)
+    counted = P.link_counts(P.read_link_sketches(spark, path)).withColumnRenamed("links", "estimate")
+    exact = docs.groupBy("source").agg(F.count_distinct("url").alias("links"))
+    near = F.abs(F.col("estimate") - F.col("links")) <= 0.08 * F.col("links")
+    return exact.join(counted, "source").select("source", "links", near.alias("near"))
+
+
 def tag_rollup(spark: SparkSession, sf: str) -> DataFrame:
     rolled = P.tag_rollup(_delivered(spark, sf))
     return rolled.select(
@@ -879,7 +893,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         ledger_upgrade, ledger_append, interaction_log, ledger_retention, archive_set,
         retention_report, ledger_remove, purge_report, similar_titles, duplicate_flag,
         near_dup_content, embedding_neighbors, commercial_flag, significance, lead_summary,
-        top_tag, prompt_build, prompt_budget, source_summary, tag_rollup, enrich,
+        top_tag, prompt_build, prompt_budget, source_summary, source_links, tag_rollup, enrich,
         article_pipeline, stream_dedup, stream_counts, snapshot_ttl, stream_intake,
         stream_retention, stream_articles,
     ]

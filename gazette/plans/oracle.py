@@ -440,6 +440,7 @@ ORACLES: dict[str, str] = {
         count(*) filter (dbl) as doubles, round(avg(com::int), 4) as commercial_share,
         round(avg(dbl::int), 4) as double_share, round(avg(score), 4) as mean_score
       from delivered group by source""",
+    "source_links": "select source, count(distinct doc_id) as links, true as near from documents group by source",
     "tag_rollup": f"""with {DELIVERED}
       select coalesce(source, 'all') as source, coalesce(tag, 'all') as tag,
         grouping(source, tag)::int as level, count(*) as articles, round(avg(score), 4) as mean_score

@@ -15,6 +15,7 @@ from gazette.operators import content as C
 from gazette.operators import enrichment as E
 from gazette.operators import logs as L
 from gazette.operators import records as R
+from gazette.operators import reports as P
 from gazette.operators import retention as N
 from gazette.operators import selection as S
 from gazette.operators.similarity import duplicate_flags, similar_titles
@@ -89,7 +90,8 @@ class Steps:
     page_id), without it every record counts as delivered under the md5 of its link; ``rewrites``
     (image_url, new_url) are re-hosted pictures of ``rewritten`` sources; ``parent`` is the page store the records go to;
     ``log_path`` is where prompts and answers are logged while the settings say so; ``image_path`` is the cache of
-    pictures, which serves articles without one and gets those that the run finds.
+    pictures, which serves articles without one and gets those that the run finds; ``sketch_path`` gets a sketch of
+    the run's links per source (``operators.reports``).
     """
 
     scorer: E.Scorer | None = None
@@ -100,6 +102,7 @@ class Steps:
     parent: str | None = None
     log_path: str | None = None
     image_path: str | None = None
+    sketch_path: str | None = None
 
 
 def run_intake(
@@ -158,6 +161,8 @@ def run_intake(
         "rows",
     ).df
     store.append(rows, run)
+    if steps.sketch_path is not None:
+        P.write_link_sketches(rows, steps.sketch_path, run)
     apply_retention(before.unionByName(rows.select(*before.columns)), store, run, settings)
     return records
 

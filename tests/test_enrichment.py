@@ -143,3 +143,15 @@ def test_native_answers_need_no_python(spark, plan_of):
     got = {r["link"]: r for r in scored.collect()}
     assert (got["l"]["isDouble"], got["l"]["similarityReason"], got["l"]["tags"], got["l"]["parse_ok"]) == (True, 'a "b"', ["T"], True)
     assert (got["m"]["similarArticle"], got["m"]["summary"], got["m"]["tags"], got["m"]["significanceScore"]) == (None, "", [], 10.0)
+
+
+def test_links_are_counted_from_the_sketches_of_runs(spark, tmp_path):
+    path = str(tmp_path / "sketches")
+    assert P.link_counts(P.read_link_sketches(spark, path)).count() == 0
+    rows = spark.range(30_000).selectExpr("if(id < 20000, 'a', 'b') as source", "concat('l', id) as url")
+    for run, low in (("r0", 0), ("r1", 8_000), ("r1", 8_000)):
+        P.write_link_sketches(rows.where(F.col("url").substr(2, 9).cast("int").between(low, low + 15_999)), path, run)
+    got = {r["source"]: r["links"] for r in P.link_counts(P.read_link_sketches(spark, path)).collect()}
+    # runs share half of their links; what is written does not grow with them
+    assert abs(got["a"] - 20_000) < 1_200 and abs(got["b"] - 4_000) < 240
+    assert P.read_link_sketches(spark, path).agg(F.max(F.octet_length("links"))).first()[0] < 5_000

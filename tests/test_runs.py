@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from gazette.common import new_folder
 from gazette.operators import content as C
 from gazette.operators.logs import read_log
+from gazette.operators.reports import link_counts, read_link_sketches
 from gazette.plans import runs
 from gazette.schemas import FEED_DOCUMENT, Settings
 from gazette.sources import feeds
@@ -112,7 +113,8 @@ def test_a_run_finds_the_pictures_of_earlier_ones(spark):
     # nothing is delivered, so the next run meets the same articles, whose pages can't be fetched any more
     run(pages(("l1", page.format("old")), ("l2", None)), RUN, runs.Steps(deliver=lost, image_path=images))
     run(pages(("l1", page.format("new"))), RUN + dt.timedelta(minutes=1), runs.Steps(deliver=lost, image_path=images))
-    run(pages(), RUN + dt.timedelta(minutes=2), runs.Steps(image_path=images))
+    run(pages(), RUN + dt.timedelta(minutes=2), runs.Steps(image_path=images, sketch_path=images + '-links'))
+    assert [tuple(r) for r in link_counts(read_link_sketches(spark, images + "-links")).collect()] == [("Un", 2)]
     assert {r["url"]: r["image_url"] for r in store.read().collect()} == {"l1": "https://h/new.jpg", "l2": None}
 
 
