@@ -1,7 +1,8 @@
 """Words of whole texts as 64-bit hashes, taken over Arrow buffers with numpy.
 
 A word's hash is a polynomial over its bytes modulo 2**64 with a table of random byte
-values, so the hashes of all words of a batch come from one running sum.
+values, so the hashes of all words of a batch come from one running sum. Words of more than SHORT bytes, for which
+polynomials of this kind have constructible collisions, are hashed one by one by xxhash.
 """
 
 from __future__ import annotations
@@ -11,12 +12,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 2**64)
 #: Bytes worked on at a time; a longer text is taken whole.
 STEP = 1 << 20
+#: Bytes of the longest word that is hashed by the running sum.
+SHORT = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -104,7 +108,10 @@ def hashed(texts: pa.Array, lower: bool = True, blank: np.ndarray = _BLANK) -> t
         sums = np.zeros(len(part) + 1, U64)
         np.cumsum(_VALUES[part] * _power(_BASE, len(part) + 1)[: len(part)], out=sums[1:])
         h = (sums[stops] - sums[starts]) * _power(_BACK, len(part) + 1)[starts]
-        out.append(mix(h + (stops - starts).astype(U64) * U64(0xD6E8FEB86659FD93)))
+        h = mix(h + (stops - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+        for w in np.flatnonzero(stops - starts > SHORT).tolist():
+            h[w] = xxhash.xxh64_intdigest(part[starts[w] : stops[w]].tobytes())
+        out.append(h)
         counts.append(before[1:] + total)
         total += len(starts)
     return (np.concatenate(out) if out else np.zeros(0, U64)), np.concatenate(counts)

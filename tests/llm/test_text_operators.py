@@ -7,10 +7,12 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gazette.llm import align, phrases, pii, queries
+from gazette.llm import align, jaccard, lm, packing, phrases, pii, queries, tokens
 from tools.check import TABLES, _rows
 
 SF = "/root/testdata/sf0.001"
@@ -263,3 +265,34 @@ def test_queries_equal_their_sql(spark, name):
     found, cursor = queries.QUERIES[name](spark, SF), db.execute(queries.SQL[name])
     columns = [d[0] for d in cursor.description]
     assert _rows(found.columns, [tuple(r) for r in found.collect()]) == _rows(columns, cursor.fetchall())
+
+
+# --- hashes of words -------------------------------------------------------------------
+
+
+def doubled(n, a="a", b="b"):
+    """A word of n letters and its complement, built by doubling: no polynomial modulo 2**64 tells them apart."""
+    x, y = a, b
+    while len(x) < n:
+        x, y = x + y, y + x
+    return x, y
+
+
+@pytest.mark.parametrize("n", [32, 64, 128, 1024, 8192])
+def test_doubled_words_have_hashes_of_their_own(n):
+    x, y = doubled(n)
+    h, at = tokens.hashed(pa.array([x, y, x.upper(), f"{y} {x}", None]))
+    assert at.tolist() == [0, 1, 2, 3, 5, 5]
+    assert h[0] != h[1] and h[0] == h[2] == h[4] and h[1] == h[3]
+
+
+def test_operators_tell_doubled_words_apart(spark):
+    x, y = doubled(2048)
+    docs = spark.createDataFrame([(0, x), (1, y), (2, f"{x} one two three four five"), (3, f"{y} one two three four five")], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.classed(docs).collect()} == {0: 0, 1: 1, 2: 2, 3: 3}
+    scored = lm.scored(docs, F.col("doc_id").isin(1, 3)).collect()
+    assert {r["doc_id"]: r["n_known"] for r in scored}[1] == 1  # its end, but not its word
+    ids = packing.Ids(public_tokenizers.path(packing.VOCABULARY))
+    found, at = ids.of(pa.array([x, y]))
+    want = [ids.model.encode(w, add_special_tokens=False).ids for w in (x, y)]
+    assert [found[at[i] : at[i + 1]].tolist() for i in range(2)] == want
