@@ -2,24 +2,29 @@
 
 Pages of one host are merged into a tree of styles: a node is the chain of elements, with class
 and id, from the body down. For every node the tree counts, over the host's distinct pages, how
-often each presentation (sequence of child styles) and each content (text of a block) occurs.
+often each presentation (sequence of child styles) and each content (text) occurs.
 Nodes whose counts are spread evenly over many values are important; those that show the
 same on page after page carry no information. The importance of a branch is the larger one of
 the normalised entropies of its content and of its presentation, and branches below LEAST are
-removed from each page, inside article and main elements too. Within a branch a text goes that
-c of its m pages have, if 1 - log c / log m is below LEAST: a notice set as one more paragraph. Elements
-that say what they are need no counting: menus, footers, forms, comments and the like have no importance. An
-element with a noise word beside others in a name, such as related-work, must reach SURE to stay. An
+removed from each page. So is a branch or block whose text c of its m pages have, if 1 - log c / log m is below LEAST.
+
+Inside article and main elements only containers go, with all they hold: elements that are neither headings nor
+running text (TEXTS), whose content is that of everything below them, that MANY distinct pages have, and that hold no
+h1 and more than headings. Headings and paragraphs that an article has of its own always stay, however many pages have the same. An
+article's containers all stay if nothing of it would be left.
+
+Elements that say what they are need no counting: menus, footers, forms, comments and the like have no importance. A
+container with a noise word beside others in a name, such as related-work, must reach SURE to stay. An
 article or main element raises the importance of what it holds: what lies outside it on a page that has
 one must reach SURE, on enough pages to know.
 
-Pages are told apart by their text without noise, so copies with other adverts count once. A page with more repeated
-texts than others is a copy of other pages rather than a template, and keeps them; so do cells of tables, whose
-values repeat by nature, and a page's article whose branches are all low.
+Pages are told apart by the two smallest hashes of their texts without noise (of article and main, if there are), so copies
+with other adverts count once and copies with an edit here and there count as few. Cells of tables repeat by nature and stay.
 
 Only counts are shuffled per host and style, added up before the shuffle; a host's page rows meet
 its tree in a join that Spark can split. Of nodes seen on fewer than FEW distinct pages of a host too little is
-known: they are kept, unless they lie outside the article or main element of their page.
+known: they are kept, unless they lie outside the article or main element of their page. A page takes memory and time
+in proportion to its length, however deeply its elements are nested.
 
 Defined results: null or empty html has empty text; a null url is a host of its own; pages cut off
 anywhere are read as far as they go; repeated rows are extracted each but count once in the tree;
@@ -28,8 +33,9 @@ an empty table gives an empty result; further columns are not carried along.
 
 from __future__ import annotations
 
+import heapq
 import re
-from collections.abc import Iterator, Set
+from collections.abc import Iterable, Iterator, Set
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -42,6 +48,8 @@ from gazette.llm.tables import keep, table
 LEAST = 0.3
 SURE = 0.6
 FEW = 4
+#: Distinct pages that must have a container before it can go from inside their article or main element.
+MANY = 8
 #: Counted values a task holds before it sends them on.
 HELD = 200_000
 
@@ -55,6 +63,11 @@ VOID = frozenset("area base basefont bgsound br col embed frame hr img input key
 UNSEEN = frozenset("head script style template noscript noframes noembed iframe object svg math canvas audio video select textarea button title map datalist".split())
 NOISE = frozenset("nav footer aside form menu dialog search".split())
 MAIN = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What an article's text is made of.
+TEXTS = HEADINGS | frozenset("p li dt dd td th caption figcaption blockquote pre summary address legend".split())
+#: What a head may hold; any other element ends it.
+HEAD = frozenset("title script style template noscript meta link base".split())
 #: Their texts may repeat from page to page and still be what the page is about.
 CELLS = frozenset("td th dt dd".split())
 #: An element is noise whose class, id or role is one of these words, or made of them and AFFIXES only.
@@ -78,15 +91,31 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "style", "noise", "main", "named", "doubt", "children")
+    """An element. Flags ending in ``_in`` hold for it or for one around it."""
+
+    __slots__ = ("tag", "style", "key", "parent", "noise", "named", "doubt", "around", "main_in", "unseen_in", "noise_in", "doubt_in", "content", "texts", "headings", "title", "children")
+
+    def __init__(self, tag: str, style: str, parent: Node | None, noise: bool = False, named: bool = False, doubt: bool = False) -> None:
+        self.tag, self.style, self.parent = tag, style, parent
+        self.noise, self.named, self.doubt, self.around = noise, named, doubt, False
+        above = parent.key if parent else 0
+        self.key = _hash(f"{above}/{style}") if style else above
+        self.main_in = tag in MAIN or (parent is not None and parent.main_in)
+        self.unseen_in = tag in UNSEEN or (parent is not None and parent.unseen_in)
+        self.noise_in = self.doubt_in = False
+        # hash and number of the texts below, those of headings among them, whether one is an h1
+        self.content = self.texts = self.headings = 0
+        self.title = False
+        self.children: list[str] | None = None
 
-    def __init__(self, tag: str, style: str, noise: bool, main: bool, named: bool = False, doubt: bool = False) -> None:
-        self.tag, self.style, self.noise, self.main, self.named, self.doubt = tag, style, noise, main, named, doubt
-        self.children: list[str] = []
+    def container(self) -> bool:
+        """Whether it may go from inside an article or main element."""
+        inside = self.parent is not None and self.parent.main_in
+        return bool(inside and self.style and self.tag not in TEXTS and not self.title and self.headings < self.texts)
 
 
 class Page(HTMLParser):
-    """Blocks ``(path, text, noise, main, doubt)`` of a page in order, and the child styles of each node.
+    """Blocks ``(node, text)`` of a page in order, and its nodes, parents first.
 
     Noise is what an element is by its tag or by its whole class, id or role; of one that has a noise word beside
     others in a name there is doubt. Names of elements around the outermost article or main count for nothing, unless the
@@ -95,74 +124,83 @@ class Page(HTMLParser):
 
     def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[Node] = [Node("#", "", False, False)]
-        self.found: list[tuple[str, str, tuple[Node, ...]]] = []
-        self.around: list[Node] = []
-        self.shapes: list[tuple[str, str]] = []
+        self.stack: list[Node] = [Node("#", "", None)]
+        self.nodes: list[Node] = self.stack[:]
+        self.open: dict[str, list[int]] = {}
+        self.open_blocks: list[int] = []
+        self.found: list[tuple[Node, str]] = []
         self.words: list[str] = []
         self.feed(html)
         self.close()
         self._flush()
-        while self.stack:
-            self._leave()
-        for node in self.around:
-            node.doubt = False
-        if not any(main and not noise for _, _, noise, main, _ in self._blocks()):
-            for node in self.around:
-                node.named = False
-        self.blocks = self._blocks()
-
-    def _blocks(self) -> list[tuple[str, str, bool, bool, bool]]:
-        return [(path, text, any(n.noise or n.named for n in nodes), any(n.main for n in nodes), any(n.doubt for n in nodes)) for path, text, nodes in self.found]
-
-    def _path(self) -> str:
-        return "/".join(n.style for n in self.stack if n.style)
+        self.stack.clear()
+        self._inherit(True)
+        if not any(n.main_in and not n.noise_in for n, _ in self.found):
+            self._inherit(False)
+        self.blocks = [(n, text) for n, text in self.found if not n.noise_in]
+        self.has_main = any(n.main_in for n, _ in self.blocks)
+        self._contents()
+
+    def _inherit(self, names_around: bool) -> None:
+        for node in self.nodes:
+            above = node.parent
+            named = node.named and (names_around or not node.around)
+            node.noise_in = node.noise or named or (above is not None and above.noise_in)
+            node.doubt_in = (node.doubt and not node.around) or (above is not None and above.doubt_in)
+
+    def _contents(self) -> None:
+        for node, text in self.blocks:
+            node.content = _hash(f"{node.content}/{_hash(text)}")
+            node.texts += 1
+            node.headings += node.tag in HEADINGS
+            node.title = node.title or node.tag == "h1"
+        for node in reversed(self.nodes):
+            above = node.parent
+            if node.texts and above is not None:
+                above.content = _hash(f"{above.content}/{node.content}")
+                above.texts += node.texts
+                above.headings += node.headings
+                above.title = above.title or node.title
 
     def _flush(self) -> None:
         text = SPACE.sub(" ", "".join(self.words)).strip()
         self.words.clear()
-        if text and not any(n.tag in UNSEEN for n in self.stack):
-            self.found.append((self._path(), text, tuple(self.stack)))
-
-    def _leave(self) -> None:
-        node = self.stack[-1]
-        if node.children:
-            self.shapes.append((self._path(), " ".join(node.children)))
-        self.stack.pop()
+        if text:
+            self.found.append((self.stack[self.open_blocks[-1]] if self.open_blocks else self.stack[0], text))
 
     def _up_to(self, depth: int) -> None:
         while len(self.stack) > depth:
             if self.stack[-1].tag in BLOCKS:
                 self._flush()
-            self._leave()
+                self.open_blocks.pop()
+            self.open[self.stack.pop().tag].pop()
+
+    def _last(self, tags: Iterable[str]) -> int:
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), default=0)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if self.stack[-1].tag == "head" and tag not in HEAD:
+            self._up_to(len(self.stack) - 1)
         if tag in VOID:
             if tag == "hr":
                 self._flush()
             elif tag == "br":
-                self.words.append(" ")
+                self.handle_data(" ")
             return
         if tag in BLOCKS:
             self._flush()
             # an open paragraph, with whatever inline elements it holds, ends at a block
-            for depth in range(len(self.stack) - 1, 0, -1):
-                if self.stack[depth].tag == "p":
-                    self._up_to(depth)
-                    break
-                if self.stack[depth].tag in BLOCKS:
-                    break
+            if self.open_blocks and self.stack[self.open_blocks[-1]].tag == "p":
+                self._up_to(self.open_blocks[-1])
         if tag in CLOSES:
             closes, holds = CLOSES[tag]
-            for depth in range(len(self.stack) - 1, 0, -1):
-                if self.stack[depth].tag in closes:
-                    self._up_to(depth)
-                    break
-                if self.stack[depth].tag in holds:
-                    break
+            depth = self._last(closes)
+            if depth > self._last(holds):
+                self._up_to(depth)
         named = dict(attrs)
         names = f"{named.get('class') or ''} {named.get('id') or ''}".lower().split()
-        inside = any(n.main for n in self.stack)
+        parent = self.stack[-1]
+        inside = parent.main_in
         hidden = "hidden" in named or (named.get("aria-hidden") or "").lower() == "true" or re.search(r"display\s*:\s*none", named.get("style") or "", re.I) is not None
         noise = tag in NOISE or hidden or (tag == "header" and not inside)
         whole = doubt = False
@@ -173,11 +211,20 @@ class Page(HTMLParser):
                     # the header of an article holds its title
                     whole, doubt = whole or (said <= NOISE_WORDS | AFFIXES and not (inside and "header" in said)), True
         if tag in MAIN and not inside:
-            self.around += self.stack
-        style = tag + "".join("." + re.sub(r"\d+", "#", n) for n in sorted(names))
-        if tag in BLOCKS:
-            self.stack[-1].children.append(style)
-        self.stack.append(Node(tag, style if tag in BLOCKS else "", noise, tag in MAIN, whole, doubt))
+            around: Node | None = parent
+            while around is not None and not around.around:
+                around.around = True
+                around = around.parent
+        style = tag + "".join("." + re.sub(r"\d+", "#", n) for n in sorted(names)) if tag in BLOCKS else ""
+        if style:
+            if parent.children is None:
+                parent.children = []
+            parent.children.append(style)
+            self.open_blocks.append(len(self.stack))
+        self.open.setdefault(tag, []).append(len(self.stack))
+        node = Node(tag, style, parent, noise, whole, doubt)
+        self.stack.append(node)
+        self.nodes.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         # outside foreign elements the slash means nothing
@@ -185,14 +232,13 @@ class Page(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "br":
-            self.words.append(" ")
-        for depth in range(len(self.stack) - 1, 0, -1):
-            if self.stack[depth].tag == tag:
-                self._up_to(depth)
-                break
+            self.handle_data(" ")
+        depth = self._last((tag,))
+        if depth:
+            self._up_to(depth)
 
     def handle_data(self, data: str) -> None:
-        if self.stack[-1].tag not in UNSEEN:
+        if not self.stack[-1].unseen_in:
             self.words.append(data)
 
 
@@ -200,15 +246,11 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
 
 
-def _main(blocks: list[tuple[str, str, bool, bool, bool]]) -> bool:
-    """Whether a page has an article or main element with text."""
-    return any(main and not noise for _, _, noise, main, _ in blocks)
-
-
 def counted(pages: DataFrame) -> DataFrame:
     """Rows ``host, style, kind, value, page``: what the nodes of all pages show, per distinct page.
 
-    Kinds: 0 texts, 1 sequences of child styles, 2 the page itself, with value 1 outside its article or main element.
+    Kinds: 0 texts, 1 sequences of child styles, 2 the page itself, with value 1 outside its article or main element and 2
+    for containers inside.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,17 +265,18 @@ def counted(pages: DataFrame) -> DataFrame:
         for batch in batches:
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 tree = Page(html or "")
-                has_main = _main(tree.blocks)
-                whole = _hash("\n".join(text for _, text, noise, main, _ in tree.blocks if not noise and (main or not has_main)))
-                open_ = {path: (_hash(path), int(has_main and not main)) for path, _, noise, main, _ in tree.blocks if not noise}
-                for style, outside in open_.values():
-                    counts.add((host, style, 2, outside, whole))
-                for path, text, noise, _, _ in tree.blocks:
-                    if not noise:
-                        counts.add((host, open_[path][0], 0, _hash(text), whole))
-                for path, shape in tree.shapes:
-                    if path in open_:
-                        counts.add((host, open_[path][0], 1, _hash(shape), whole))
+                texts = {_hash(text) for node, text in tree.blocks if node.main_in or not tree.has_main}
+                page = _hash("/".join(map(str, heapq.nsmallest(2, texts))))
+                shown = {id(node): (node, _hash(text), int(tree.has_main)) for node, text in tree.blocks if not node.main_in}
+                shown |= {id(node): (node, node.content, 2) for node in tree.nodes if node.texts and not node.noise_in and node.container()}
+                for node, value, where in shown.values():
+                    counts.add((host, node.key, 2, where, page))
+                    counts.add((host, node.key, 0, value, page))
+                    if node.children:
+                        counts.add((host, node.key, 1, _hash(" ".join(node.children)), page))
+                for node, text in tree.blocks:
+                    if not node.main_in:
+                        counts.add((host, node.key, 0, _hash(text), page))
                 if len(counts) >= HELD:
                     yield out()
         yield out()
@@ -256,7 +299,7 @@ def importance(counts: DataFrame) -> DataFrame:
     branch = nodes.groupBy("host", "style").agg(
         F.max(F.when(~page, entropy)).alias("e"), F.max(F.when(page, F.col("n"))).alias("pages"), F.max(F.when(page, F.col("outside"))).alias("outside")
     )
-    branch = keep(branch.where(F.col("pages") >= FEW), "branches")
+    branch = keep(branch.where(F.col("pages") >= F.when(F.col("outside") == 2, MANY).otherwise(FEW)), "branches")
     level = F.when(F.col("e") < LEAST, 0).when((F.col("e") >= SURE) & (F.col("outside") == 1), 1)
     styles = branch.select("host", level.alias("level"), F.col("style").alias("key")).where("level IS NOT NULL")
     often = values.where((F.col("kind") == 0) & (F.col("n") >= FEW)).select(F.col("host").alias("_h"), F.col("style").alias("_s"), "value", "n")
@@ -267,18 +310,28 @@ def importance(counts: DataFrame) -> DataFrame:
     return keys.groupBy(F.col("host").alias("_host")).agg(*lists)
 
 
-def main_text(html: str, low: Set[int], sure: Set[int] = frozenset(), repeated: Set[int] = frozenset(), doubtful: Set[int] = frozenset()) -> str:
+def main_text(html: str, low: Set[int] = frozenset(), sure: Set[int] = frozenset(), repeated: Set[int] = frozenset(), doubtful: Set[int] = frozenset()) -> str:
     """Blocks of a page that are left without noise and what the host's tree takes away, one a line."""
-    blocks = Page(html).blocks
-    has_main = _main(blocks)
-    blocks = [(path, text, _hash(path), main, doubt) for path, text, noise, main, doubt in blocks if not noise]
-    kept = [b for b in blocks if b[2] not in low and not (b[4] and b[2] in doubtful) and (b[3] or not has_main or b[2] in sure)]
-    if has_main and not any(b[3] for b in kept):
-        kept = [b for b in blocks if b[3]]
-    own = [b for b in kept if b[2] ^ _hash(b[1]) not in repeated or b[0].rpartition("/")[2].partition(".")[0] in CELLS]
-    if 2 * len(own) >= len(kept):
-        kept = own
-    return "\n".join(b[1] for b in kept)
+    page = Page(html)
+
+    def goes(node: Node, value: int) -> bool:
+        return node.key in low or (node.doubt_in and node.key in doubtful) or node.key ^ value in repeated
+
+    gone: set[int] = set()
+    for node in page.nodes:
+        if id(node.parent) in gone or (node.container() and goes(node, node.content)):
+            gone.add(id(node))
+    kept = []
+    for node, text in page.blocks:
+        if node.main_in:
+            stays = id(node) not in gone
+        else:
+            stays = (not page.has_main or node.key in sure) and (not goes(node, _hash(text)) or (node.tag in CELLS and node.key not in low))
+        if stays:
+            kept.append((node, text))
+    if page.has_main and not any(node.main_in for node, _ in kept):
+        kept = [(node, text) for node, text in page.blocks if node.main_in]
+    return "\n".join(text for _, text in kept)
 
 
 def extracted(pages: DataFrame) -> DataFrame:

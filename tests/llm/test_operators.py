@@ -1,6 +1,7 @@
 """Operators of the optional subpackage against brute force, with awkward rows in every table."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -306,11 +307,95 @@ def test_site_trees_decide_inside_articles(spark):
     rows += [(100 + i, f"http://copies.example/{i}", f"{copies}<p>Edit {i}</p></article>") for i in range(8)]
     rows += [(200 + i, f"http://one.example/{i}", f"<body><article><p>The text</p></article><div class=ad>Ad {i}") for i in range(8)]
     got = {r["page_id"]: r["text"] for r in sitetree.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got[3] == "Title 3\nText 3\nMore 3\nYes\n3"
+    # a paragraph of the article's own stays, as a contract on whole articles asks; the container goes
+    assert got[3] == "Title 3\nText 3\nRead on with us\nMore 3\nYes\n3"
     assert got[104] == "\n".join([f"Same {k}" for k in range(6)] + ["Edit 4"])
     assert got[200] == got[207] == "The text"
 
 
+def test_headings_and_shared_paragraphs_of_articles_stay(spark):
+    recipe = lambda i: f"<article><h1>Dish {i}</h1><h2>Ingredients</h2><ul><li>{i} eggs</ul><section><h2>Method</h2></section><p>Stir {i} times</p></article>"
+    shared = lambda i: f"<main><div><h1>One title</h1><p>One lead</p></div><p>Body {i}</p><p>End {i * i}</p></main>"
+    promo = lambda i: f"<article><h1>T {i}</h1><p>Text {i}</p><div><div><h3>Our app</h3><p>Get it</p></div></div></article>"
+    edited = lambda i: "<article>" + "".join(f"<p>Part {k} {i if k == i % 12 else ''}</p>" for k in range(12)) + "<div>Source: wire</div></article>"
+    rows = [(100 * h + i, f"http://h{h}.example/{i}", page(i)) for h, page in enumerate([recipe, shared, promo, edited]) for i in range(20)]
+    got = {r["page_id"]: r["text"] for r in sitetree.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(20):
+        assert got[i] == f"Dish {i}\nIngredients\n{i} eggs\nMethod\nStir {i} times"
+        assert got[100 + i] == f"One title\nOne lead\nBody {i}\nEnd {i * i}"
+        assert got[200 + i] == f"T {i}\nText {i}"
+        assert got[300 + i].endswith("Source: wire")
+
+
+@pytest.mark.parametrize("html", ["<div>" * 100_000 + "x", "<article>" + "<div>x" * 50_000, "<b>" * 50_000 + "<p>x" * 50_000, "<div>" * 50_000 + "</span>" * 50_000 + "x", "x" * 3_000_000])
+def test_deep_and_long_pages(html):
+    import time
+    import tracemalloc
+
+    start = time.process_time()
+    assert sitetree.main_text(html).replace("\n", "") == re.sub("<[^>]*>", "", html)
+    assert time.process_time() - start < 20
+    tracemalloc.start()
+    sitetree.Page(html[:100_000])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * 2**20
+
+
+def test_style_trees_equal_brute_force(spark):
+    """Counts, entropies and what they take away, page by page in plain Python."""
+    rng = random.Random(4)
+    rows = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html").collect()]
+    for i in range(160):
+        main = rng.random() < 0.6
+        parts = ["<div class=top>Same words</div>", f"<p>Text {i}</p>", f"<div class=tip-share>Tip {rng.randint(0, 5)}</div>", f"<div>{rng.choice(['App', 'App', 'App', f'Own {i}'])}</div>", f"<p>More {rng.random()}</p>"]
+        rows.append((1000 + i, f"http://b{i % 3}.example/", "<p>Before</p>" + f"<div class=a>{i % 40}</div>" + ("<article>" if main else "") + "".join(rng.sample(parts, 4))))
+    rows += [(2000, None, None), (2001, "http://b0.example/", ""), (2002, "http://b0.example/", rows[-1][2])]
+    hosts = {}
+    for _, url, html in rows:
+        hosts.setdefault(re.match(r"[^:]*://([^/?#]*)", url).group(1) if url else None, []).append(sitetree.Page(html or ""))
+    known = {}
+    for host, trees in hosts.items():
+        seen = {}
+        for tree in trees:
+            texts = sorted({sitetree._hash(t) for n, t in tree.blocks if n.main_in or not tree.has_main})[:2]
+            inner = [(n, n.content) for n in tree.nodes if n.texts and not n.noise_in and n.container()]
+            outer = [(n, sitetree._hash(t)) for n, t in tree.blocks if not n.main_in]
+            for node, value in inner + outer:
+                own = seen.setdefault(node.key, {"pages": set(), "values": set(), "shapes": set(), "where": 0})
+                where = 2 if node.main_in else int(tree.has_main)
+                own["where"] = max(own["where"], where)
+                own["pages"].add((where, *texts))
+                own["values"].add((value, *texts))
+                if node.children:
+                    own["shapes"].add((" ".join(node.children), *texts))
+        sets = low, sure, repeated, doubtful = set(), set(), set(), set()
+        for key, own in seen.items():
+            if len(own["pages"]) < (sitetree.MANY if own["where"] == 2 else sitetree.FEW):
+                continue
+            levels = []
+            for name in ("values", "shapes"):
+                counts = Counter(v[0] for v in own[name])
+                n = sum(counts.values())
+                if n:
+                    levels.append(sum(c / n * math.log(n / c) for c in counts.values()) / math.log(n) if n > 1 else 1.0)
+            e = max(levels)
+            (low if e < sitetree.LEAST else doubtful if e < sitetree.SURE else sure if own["where"] == 1 else set()).add(key)
+            for value, c in Counter(v[0] for v in own["values"]).items():
+                if c >= sitetree.FEW and 1 - math.log(c) / math.log(len(own["pages"])) < sitetree.LEAST:
+                    repeated.add(key ^ value)
+        known[host] = sets
+    assert sum(bool(s) for sets in known.values() for s in sets) >= 6
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in sitetree.extracted(pages).collect()}
+    changed = 0
+    for page_id, url, html in rows:
+        sets = known[re.match(r"[^:]*://([^/?#]*)", url).group(1) if url else None]
+        assert got[page_id] == sitetree.main_text(html or "", *sets)
+        changed += got[page_id] != sitetree.main_text(html or "")
+    assert changed > 100
+
+
 @pytest.mark.parametrize("name", ["class='layout no-sidebar'", "class=has-header", "id=page-with-menu", "class=sidebar", "role=banner"])
 def test_names_around_an_article_do_not_empty_it(name):
     page = f"<body><div {name}><p>Before</p><article><h1>A</h1><p>One</p><div class=ad>Buy</div></article></div><div class=sidebar>Side</div>"
