@@ -207,18 +207,6 @@ PROMPT = (
 )
 
 
-
-def order_bands(tables: int = 8, most: int = 24, size: int = 64) -> str:
-    keys = []
-    for table in range(tables):
-        signs = " || ".join(
-            f"case when embedding[{(at * 7 + 3) % size + 1}] > embedding[{(at * 13 + 8) % size + 1}] then '1' else '0' end"
-            for at in range(table * most, table * most + most)
-        )
-        keys.append(f"'{table}:' || substr({signs}, 1, bits)")
-    return "[" + ", ".join(keys) + "]"
-
-
 DELIVERED = DOCS + r""", delivered as (
   select source, link as url, quality = 0 as dbl, toxic = 1 as com, (doc_id % 11)::double as score,
          upper(substr(lang, 1, 1)) || substr(lang, 2) as tag
@@ -414,10 +402,10 @@ ORACLES: dict[str, str] = {
         from e a join e b on a.x = b.x and b.id < a.id group by a.id, b.id)
       select id, min(other) as match_id, round(arg_min(i / (nx + ny - i), other), 6) as similarity
       from j where i / (nx + ny - i) >= 0.7 group by id""",
-    "embedding_neighbors": f"""with k as (select vec_id as id, unnest({order_bands()}) as key from embeddings, (select 4 as bits)),
-      p as (select distinct a.id, b.id as other from k a join k b on a.key = b.key and b.id < a.id),
-      c as (select p.id, other, list_cosine_similarity(x.embedding::double[], y.embedding::double[]) as c
-        from p join embeddings x on x.vec_id = p.id join embeddings y on y.vec_id = other)
+    "embedding_neighbors": """with c as (
+      select a.vec_id as id, b.vec_id as other,
+        list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as c
+      from embeddings a join embeddings b on b.vec_id < a.vec_id)
       select id, min(other) as match_id, round(arg_min(c, other), 6) as similarity from c where c >= 0.35 group by id""",
     "commercial_flag": f"""with {DOCS}, x as (select doc_id, {commercial(
         "(title || ' ' || text || case when doc_id % 4 = 0 then ' Promotion : 20 € jusqu''au 3 mai' else '' end"

@@ -131,6 +131,42 @@ def test_unrelated_vectors_change_no_answer(spark):
     assert found[0] == found[1] and len(found[0]) > 30
 
 
+@pytest.mark.parametrize("hot_rows", [None, 5])
+@pytest.mark.parametrize("threshold,pivots", [(0.35, None), (0.35, 1), (0.8, 12), (0.97, 40), (-0.5, 3)])
+def test_vectors_equal_all_pairs(spark, monkeypatch, threshold, pivots, hot_rows):
+    if hot_rows:
+        monkeypatch.setattr(common, "HOT_ROWS", hot_rows)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(6, 12))
+    # a third near one centre, exact and scaled copies, and vectors far from all others
+    data = [centres[0 if i % 3 == 0 else i % 6] + rng.normal(size=12) * rng.choice([0.05, 0.3, 1.5]) for i in range(150)]
+    data += [data[7], data[7] * 2, data[20] * 1e-8] + list(rng.normal(size=(20, 12)))
+    rows = [(i, v.tolist()) for i, v in enumerate(data)]
+    unit = np.array(data) / np.linalg.norm(data, axis=1)[:, None]
+    cosines = unit @ unit.T
+    expected = {i: int(np.flatnonzero(cosines[i, :i] >= threshold)[0]) for i in range(len(data)) if (cosines[i, :i] >= threshold).any()}
+    odd = [(500, None), (501, []), (502, [0.0] * 12), (503, [None] + [1.0] * 11), (504, [float("nan")] * 12), (505, [float("inf")] * 12), (506, [1.0, 0.0]), (507, [2.0, 0.0]), (508, [3.0])]
+    frame = spark.createDataFrame(rows + odd, "id long, embedding array<double>")
+    found = {r["id"]: (r["match_id"], r["similarity"]) for r in M.similar_vectors(frame, threshold, pivots).collect()}
+    assert found.pop(507) == (506, 1.0)
+    assert {i: m for i, (m, _) in found.items()} == expected
+    assert all(abs(c - cosines[i, m]) < 1e-9 for i, (m, c) in found.items() if c != 1.0)
+
+
+def test_no_vectors(spark):
+    assert M.similar_vectors(spark.createDataFrame([], "id long, embedding array<float>")).collect() == []
+
+
+def test_far_cells_share_no_bucket(spark):
+    """At a high threshold vectors only stand in buckets of cells near them."""
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(20, 32))
+    data = [c + rng.normal(size=32) * 0.02 for c in centres for _ in range(20)]
+    rows = [(i, (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(data)]
+    keys = M.pivot_keys(spark.createDataFrame(rows, "id long, feature array<double>"), 0.95, 400, 60).count()
+    assert keys < 400 * 12
+
+
 def test_similar_vectors(spark):
     rng = random.Random(2)
     base = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(10)]
