@@ -35,16 +35,26 @@ def select_articles(
     return S.new_articles(S.dedup_batch(named), ledger)
 
 
-def assemble_article(articles: DataFrame, history: DataFrame, settings: Settings) -> DataFrame:
+def assemble_article(
+    articles: DataFrame, history: DataFrame, settings: Settings, store: LedgerStore | None = None, run: str | None = None
+) -> DataFrame:
     """Everything a scorer is given: cleaned text, match with an earlier title, commercial
     criteria, novelty, summary and tag. ``articles`` and ``history`` have (id, title);
-    history ids come before article ids."""
+    history ids come before article ids. With a ``store`` that keeps title keys, history is looked up there, and
+    only articles are compared with each other."""
     cleaned = stage(
         articles.withColumn("text", clean_content(F.col("content"))), "articles"
     ).df
-    titles = cleaned.select("id", "title").unionByName(history.select("id", "title"))
-    first_new = cleaned.agg(F.min("id")).first()[0]
-    matches = similar_titles(titles, settings.min_title_jaccard, since=first_new)
+    if store is not None and store.title_jaccard == settings.min_title_jaccard:
+        titles = cleaned.select("id", "title")
+        stored = stage(store.earlier_titles(titles, run), "earlier").df
+        matches = similar_titles(titles, settings.min_title_jaccard).join(stored, "id", "left_anti")
+        matches = matches.unionByName(stored.drop("similar_article"))
+        titles = titles.unionByName(stored.select(F.col("match_id").alias("id"), F.col("similar_article").alias("title")).distinct())
+    else:
+        titles = cleaned.select("id", "title").unionByName(history.select("id", "title"))
+        first_new = cleaned.agg(F.min("id")).first()[0]
+        matches = similar_titles(titles, settings.min_title_jaccard, since=first_new)
     flagged = duplicate_flags(cleaned, matches, titles)
     texts = cleaned.select("id", "text")
     terms = E.weighed_terms(texts)
@@ -66,13 +76,16 @@ def article_pipeline(
     scorer: E.Scorer | None = None,
     inputs: tuple[str, ...] = E.CRITERIA,
     prompts: bool = False,
+    store: LedgerStore | None = None,
+    run: str | None = None,
 ) -> DataFrame:
     """Cleaned and scored articles with the analysis flattened next to them.
 
     A scorer is given the columns ``inputs``, which may name ``prompt``: with ``prompts`` the text sent to a
-    model is built of the article and the titles of the history, as many as ``prompt_history`` says.
+    model is built of the article and the titles of the history, as many as ``prompt_history`` says. ``store`` and ``run``
+    as in ``assemble_article``: the store the history comes from, and the run it does not see.
     """
-    assembled = assemble_article(articles, history, settings)
+    assembled = assemble_article(articles, history, settings, store, run)
     if prompts:
         past = E.recent_titles(history.withColumnRenamed("id", "ingest_ord"), settings.prompt_history).scalar()
         assembled = assembled.withColumn("prompt", E.build_prompt(F.col("title"), F.col("text"), past, settings))
@@ -140,7 +153,7 @@ def run_intake(
     if selected.rows:
         history = before.select(F.col("ingest_ord").alias("id"), "title")
         prompts = logged or "prompt" in steps.inputs
-        scored = article_pipeline(articles, history, settings, steps.scorer, steps.inputs, prompts)
+        scored = article_pipeline(articles, history, settings, steps.scorer, steps.inputs, prompts, store, run)
         scored = stage(scored, "answers").df
         answered = articles.join(scored.select("link", F.col("answer").alias("analysis")), "link")
     else:

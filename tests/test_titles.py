@@ -1,0 +1,113 @@
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from gazette.common import new_folder
+from gazette.operators import similarity as M
+from gazette.operators.titles import earlier_titles, title_keys
+from gazette.plans import runs
+from gazette.schemas import LEDGER, Settings
+from gazette.sources.ledger import LedgerStore
+from test_runs import FIRST, SECOND, intake
+
+
+def titles(seed, ids):
+    rng = random.Random(seed)
+    out = []
+    for i in ids:
+        kind = rng.random()
+        if kind < 0.3:  # copies in changing order
+            w = "Gros titre copié partout".split()
+            rng.shuffle(w)
+        elif kind < 0.6:
+            w = "le grand test complet de la nouvelle console".split() + [f"x{rng.randint(0, 9)}" for _ in range(rng.randint(0, 2))]
+        elif kind < 0.65:
+            w = rng.choice([None, [], ["--"], ["a"]])
+        else:
+            w = [rng.choice("le la de prix test grand jeu console gratuit".split()) for _ in range(rng.randint(1, 9))]
+        out.append((i, None if w is None else " ".join(w)))
+    return out
+
+
+def rows(spark, data):
+    frame = spark.createDataFrame(data, "ingest_ord long, title string").withColumn("url", F.col("ingest_ord").cast("string"))
+    return frame.select(*[F.col(f.name) if f.name in frame.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in LEDGER.fields])
+
+
+def answers(found):
+    return {r["id"]: (r["match_id"], round(r["similarity"], 9)) for r in found.collect()}
+
+
+def opened(plan):
+    """Conditions on buckets that a scan's folders must meet."""
+    return re.findall(r"PartitionFilters: \[[^\]]*bucket[^\]]*", plan)
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.7, 1.0])
+def test_stored_keys_equal_all_pairs(spark, threshold):
+    """Several runs, one of them repeated, some titles removed, and one run that must not be seen."""
+    store = LedgerStore(spark, new_folder(spark, "ledger"), threshold)
+    asked = spark.createDataFrame(titles(9, range(1000, 1120)), "id long, title string")
+    assert store.earlier_titles(asked).collect() == []
+    past = [titles(run, range(100 * run, 100 * run + 100)) for run in range(3)]
+    for run, data in [(0, past[0]), (1, past[2]), (1, past[1]), (2, past[2])]:
+        store.append(rows(spark, data), f"r{run}")
+    gone = [i for i in range(300) if i % 5 < 2]
+    store.remove(spark.createDataFrame([(i,) for i in gone], "ingest_ord long"), "clean")
+    left = [(i, t) for data in past[:2] for i, t in data if i not in gone]
+    sets = lambda t: set(t.lower().split()) - {"--"} if t else set()
+    expected = {}
+    for i, title in titles(9, range(1000, 1120)):
+        for j, other in sorted(left):
+            a, b = sets(title), sets(other)
+            if a and b and len(a & b) / len(a | b) >= threshold:
+                expected[i] = (j, round(len(a & b) / len(a | b), 9))
+                break
+    assert len(expected) > 40
+    found = store.earlier_titles(asked, besides="r2")
+    assert answers(found) == expected
+    named = dict(left)
+    assert all(r["similar_article"] == named[r["match_id"]] for r in found.collect())
+
+
+def test_a_ledger_begun_without_keys_is_indexed(spark):
+    path = new_folder(spark, "ledger")
+    LedgerStore(spark, path).append(rows(spark, titles(1, range(50))), "a")
+    store = LedgerStore(spark, path, 0.7)
+    store.index_titles()
+    store.append(rows(spark, titles(2, range(50, 90))), "b")
+    asked = spark.createDataFrame(titles(3, range(100, 140)), "id long, title string")
+    all_titles = spark.createDataFrame(titles(1, range(50)) + titles(2, range(50, 90)), "id long, title string")
+    direct = earlier_titles(asked, title_keys(all_titles, 0.7), spark.createDataFrame([], "id long"), 0.7)
+    assert answers(store.earlier_titles(asked)) == answers(direct) != {}
+
+
+def test_a_probe_opens_the_buckets_of_its_words(spark, plan_of):
+    store = LedgerStore(spark, new_folder(spark, "ledger"), 0.7)
+    store.append(rows(spark, [(i, f"word{i} other{i * 7} third{i * 3}") for i in range(400)]), "a")
+    asked = spark.createDataFrame([(1000, "word7 other49 third21")], "id long, title string")
+    found = store.earlier_titles(asked)
+    plan = plan_of(found)
+    assert opened(plan) and "CartesianProduct" not in plan
+    assert answers(found) == {1000: (7, 1.0)}
+    # one word is looked for, so one bucket is read
+    one = store.earlier_titles(asked.select("id", F.lit("word7").alias("title")))
+    assert one.collect() == []
+    assert all("IN" not in f and "INSET" not in f for f in opened(plan_of(one)))
+
+
+def test_runs_with_stored_keys_give_the_same_records(spark, monkeypatch):
+    settings = Settings(max_articles_per_feed=2)
+    plain = LedgerStore(spark, new_folder(spark, "ledger"))
+    keyed = LedgerStore(spark, new_folder(spark, "ledger"), settings.min_title_jaccard)
+    seen = []
+    whole = M.similar_titles
+    monkeypatch.setattr(runs, "similar_titles", lambda titles, *a, **k: seen.append(titles.count()) or whole(titles, *a, **k))
+    for feed in (FIRST, SECOND):
+        records = [intake(spark, store, feed, settings).select("link", "record.properties.*") for store in (plain, keyed)]
+        a, b = (sorted(str(r.asDict(True)) for r in r.collect()) for r in records)
+        assert a == b and a
+    # with keys the articles of the run alone are compared with each other
+    assert seen[3] < seen[2]
