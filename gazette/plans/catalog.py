@@ -26,6 +26,7 @@ from gazette.operators import reports as P
 from gazette.operators import retention as N
 from gazette.operators import selection as S
 from gazette.operators import similarity as M
+from gazette.operators.contents import combined_matches
 from gazette.plans import runs
 from gazette.schemas import ANALYSIS, FEED_DOCUMENT, Settings
 from gazette.sources import feeds, ledger, pages as page_source
@@ -34,7 +35,7 @@ from gazette.streaming import intake as T
 
 RUN_TS = datetime.datetime(2024, 3, 1, 6, 0, 0)
 RUN_DATE = RUN_TS.date()
-SETTINGS = Settings(max_articles_per_feed=20)
+SETTINGS = Settings(max_articles_per_feed=20, min_content_jaccard=None)
 
 
 def _table(spark: SparkSession, sf: str, name: str, heavy: bool = False) -> DataFrame:
@@ -627,6 +628,19 @@ def near_dup_content(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("id", "match_id", F.round("similarity", 6).alias("similarity"))
 
 
+def duplicate_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document against a ledger of the labelled ones, by the stored keys of titles and texts."""
+    held = _table(spark, sf, "labels").select(F.col("doc_id").alias("ingest_ord"))
+    store = ledger.LedgerStore(spark, new_folder(spark, "evidence-ledger"), 0.7, 0.7)
+    store.append(_ledger(spark, sf).join(held, "ingest_ord", "left_semi"))
+    asked = _articles(spark, sf)
+    found = combined_matches(store.earlier_titles(asked.select("id", "title")), store.earlier_contents(asked.select("id", "text")))
+    return found.select(
+        "id", "match_id",
+        *[F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c) for c in ("title_similarity", "content_similarity", "similarity")],
+    )
+
+
 def embedding_neighbors(spark: SparkSession, sf: str) -> DataFrame:
     vectors = _table(spark, sf, "embeddings").selectExpr("vec_id as id", "embedding")
     found = M.similar_vectors(vectors, 0.35)
@@ -892,7 +906,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         payload_parse, payload_defaults, payload_validate, page_record, page_listing,
         ledger_upgrade, ledger_append, interaction_log, ledger_retention, archive_set,
         retention_report, ledger_remove, purge_report, similar_titles, duplicate_flag,
-        near_dup_content, embedding_neighbors, commercial_flag, significance, lead_summary,
+        near_dup_content, duplicate_evidence, embedding_neighbors, commercial_flag, significance, lead_summary,
         top_tag, prompt_build, prompt_budget, source_summary, source_links, tag_rollup, enrich,
         article_pipeline, stream_dedup, stream_counts, snapshot_ttl, stream_intake,
         stream_retention, stream_articles,

@@ -402,6 +402,25 @@ ORACLES: dict[str, str] = {
         from e a join e b on a.x = b.x and b.id < a.id group by a.id, b.id)
       select id, min(other) as match_id, round(arg_min(i / (nx + ny - i), other), 6) as similarity
       from j where i / (nx + ny - i) >= 0.7 group by id""",
+    "duplicate_evidence": f"""with {DOCS}, held as (select distinct doc_id from labels),
+      tw as (select doc_id as id, list_distinct({words('title')}) as w from docs),
+      tok as (select id, len(w) as n, unnest(w) as x from tw),
+      tp as (select a.id, b.id as other, count(*)::double as i, any_value(a.n) as nx, any_value(b.n) as ny
+        from tok a join tok b on a.x = b.x join held on held.doc_id = b.id group by a.id, b.id),
+      t as (select id, min(other) as other, arg_min(i / (nx + ny - i), other) as t from tp where i / (nx + ny - i) >= 0.7 group by id),
+      d as (select doc_id as id, {words('text')} as w from documents),
+      g as (select id, case when len(w) < 3 then [array_to_string(w, ' ')]
+        else list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) end as gs
+        from d where len(w) > 0),
+      e as (select id, len(gs) as n, unnest(gs) as x from g),
+      cp as (select a.id, b.id as other, count(*)::double as i, any_value(a.n) as nx, any_value(b.n) as ny
+        from e a join e b on a.x = b.x join held on held.doc_id = b.id group by a.id, b.id),
+      c as (select id, min(other) as other, arg_min(i / (nx + ny - i), other) as c from cp where i / (nx + ny - i) >= 0.7 group by id),
+      both_kinds as (select id, other, coalesce(t, 0) as t, coalesce(c, 0) as c from t full join c using (id, other)),
+      best as (select *, 1 - (1 - t) * (1 - c) as s,
+        row_number() over (partition by id order by round(1 - (1 - t) * (1 - c), 9) desc, other) as rn from both_kinds)
+      select id, other as match_id, round(t, 6) as title_similarity, round(c, 6) as content_similarity, round(s, 6) as similarity
+      from best where rn = 1""",
     "embedding_neighbors": """with c as (
       select a.vec_id as id, b.vec_id as other,
         list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as c

@@ -18,7 +18,8 @@ from gazette.operators import records as R
 from gazette.operators import reports as P
 from gazette.operators import retention as N
 from gazette.operators import selection as S
-from gazette.operators.similarity import duplicate_flags, similar_titles
+from gazette.operators.contents import combined_matches
+from gazette.operators.similarity import duplicate_flags, near_duplicates, similar_titles
 from gazette.schemas import Settings
 from gazette.sources.feeds import complete_entries
 from gazette.sources.ledger import LedgerStore
@@ -38,24 +39,37 @@ def select_articles(
 def assemble_article(
     articles: DataFrame, history: DataFrame, settings: Settings, store: LedgerStore | None = None, run: str | None = None
 ) -> DataFrame:
-    """Everything a scorer is given: cleaned text, match with an earlier title, commercial
-    criteria, novelty, summary and tag. ``articles`` and ``history`` have (id, title);
-    history ids come before article ids. With a ``store`` that keeps title keys, history is looked up there, and
-    only articles are compared with each other."""
+    """Everything a scorer is given: cleaned text, match with an earlier article by title or text, commercial
+    criteria, novelty, summary and tag. ``articles`` and ``history`` have (id, title, content);
+    history ids come before article ids, and without its ``content`` only titles are compared. With a ``store`` that keeps
+    keys of titles or texts, history is looked up there, and only articles are compared with each other."""
     cleaned = stage(
         articles.withColumn("text", clean_content(F.col("content"))), "articles"
     ).df
+    first_new = cleaned.agg(F.min("id")).first()[0]
+    named = cleaned.select("id", "title").unionByName(history.select("id", "title"))
     if store is not None and store.title_jaccard == settings.min_title_jaccard:
         titles = cleaned.select("id", "title")
         stored = stage(store.earlier_titles(titles, run), "earlier").df
-        matches = similar_titles(titles, settings.min_title_jaccard).join(stored, "id", "left_anti")
-        matches = matches.unionByName(stored.drop("similar_article"))
-        titles = titles.unionByName(stored.select(F.col("match_id").alias("id"), F.col("similar_article").alias("title")).distinct())
+        matches = _first_stored(stored, similar_titles(titles, settings.min_title_jaccard))
+        named = cleaned.select("id", "title").unionByName(_originals(stored))
     else:
-        titles = cleaned.select("id", "title").unionByName(history.select("id", "title"))
-        first_new = cleaned.agg(F.min("id")).first()[0]
-        matches = similar_titles(titles, settings.min_title_jaccard, since=first_new)
-    flagged = duplicate_flags(cleaned, matches, titles)
+        matches = similar_titles(named, settings.min_title_jaccard, since=first_new)
+    if settings.min_content_jaccard is not None:
+        texts = cleaned.select("id", "text")
+        if store is not None and store.content_jaccard == settings.min_content_jaccard:
+            stored = stage(store.earlier_contents(texts, run), "earlier-texts").df
+            by_text = _first_stored(stored, near_duplicates(texts, settings.min_content_jaccard))
+            named = named.unionByName(_originals(stored))
+        elif "content" in history.columns:
+            past = history.select("id", F.col("content").alias("text"))
+            by_text = near_duplicates(texts.unionByName(past), settings.min_content_jaccard, since=first_new)
+            named = named.unionByName(history.select("id", "title").join(by_text.select(F.col("match_id").alias("id")), "id", "left_semi"))
+        else:
+            by_text = near_duplicates(texts, settings.min_content_jaccard)
+        matches = combined_matches(matches, by_text, settings.title_weight, settings.content_weight)
+    # an original may be named by its title and by its text
+    flagged = duplicate_flags(cleaned, matches, named.dropDuplicates(["id"]))
     texts = cleaned.select("id", "text")
     terms = E.weighed_terms(texts)
     summary, tag = E.lead_summary(texts, terms=terms), E.top_tag(texts, terms)
@@ -69,6 +83,16 @@ def assemble_article(
     )
 
 
+def _first_stored(stored: DataFrame, among: DataFrame) -> DataFrame:
+    """Matches with earlier runs, and those among the articles of a run where there is none."""
+    return among.join(stored, "id", "left_anti").unionByName(stored.drop("similar_article"))
+
+
+def _originals(stored: DataFrame) -> DataFrame:
+    """(id, title) of the matched earlier articles."""
+    return stored.select(F.col("match_id").alias("id"), F.col("similar_article").alias("title")).distinct()
+
+
 def article_pipeline(
     articles: DataFrame,
     history: DataFrame,
@@ -151,7 +175,7 @@ def run_intake(
         keep_images(articles, steps.image_path, run_ts, run)
     logged = settings.log_interactions and steps.log_path is not None
     if selected.rows:
-        history = before.select(F.col("ingest_ord").alias("id"), "title")
+        history = before.select(F.col("ingest_ord").alias("id"), "title", "content")
         prompts = logged or "prompt" in steps.inputs
         scored = article_pipeline(articles, history, settings, steps.scorer, steps.inputs, prompts, store, run)
         scored = stage(scored, "answers").df

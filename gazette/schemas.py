@@ -61,7 +61,11 @@ PAGE_BATCH = _struct(
 
 @dataclass(frozen=True)
 class Settings:
-    """Run parameters; the defaults are the fixed values of the original job."""
+    """Run parameters; the defaults are the fixed values of the original job.
+
+    An article repeats an earlier one when its title or its text is that similar; ``min_content_jaccard`` None
+    leaves texts out. The weights say how much either similarity counts (``operators.contents.combined_matches``).
+    """
 
     max_articles_per_feed: int = 3
     auto_clean_threshold: int = 400
@@ -72,6 +76,9 @@ class Settings:
     chunk_size: int = 1800
     chunk_cap: int = 10
     min_title_jaccard: float = 0.7
+    min_content_jaccard: float | None = 0.7
+    title_weight: float = 1.0
+    content_weight: float = 1.0
 
     def __post_init__(self) -> None:
         if self.max_articles_per_feed < 0:
