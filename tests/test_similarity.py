@@ -232,3 +232,37 @@ def test_rows_without_a_key_are_spread_and_match_nothing(spark, how):
     without = [r for r in got if r["key"] is None]
     assert len(got) == (600 if how == "left" else 100) and all(r["v"] is None for r in without)
     assert sum(r["v"] == 1 for r in got) == 100 and (how == "inner" or len({r["at"] for r in without}) > 1)
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 8])
+def test_texts_in_rounds_equal_all_pairs(spark, monkeypatch, rounds):
+    """Families around the threshold, so that leaders and the first possible members are missed, with few and many rounds."""
+    monkeypatch.setattr(M, "SKETCH_ROUNDS", rounds)
+    rng = random.Random(8)
+    rows = []
+    for i in range(90):
+        text = [f"m{k}" for k in range(60)] if i < 2 else rows[rng.randrange(max(0, i - 20), i)][1].split()
+        for _ in range(rng.randint(2, 6)):
+            text[rng.randrange(len(text))] = f"n{rng.randint(0, 60)}"
+        rows.append((i, " ".join(text)))
+    grams = {i: {tuple(t.split()[k : k + 3]) for k in range(58)} for i, t in rows}
+    compare(M.near_duplicates(spark.createDataFrame(rows, "id long, text string")), earliest(list(grams.items()), 0.7))
+
+
+def test_unshared_elements_open_no_bucket(spark):
+    """Sets whose rare end is their own have no keys, and the others are kept without what no set shares."""
+    sets = [(0, list(range(100))), (1, list(range(95)) + [900]), (2, list(range(1000, 1090)) + list(range(10))), (3, [])]
+    parts = M.shared_parts(spark.createDataFrame(sets, "id long, feature array<long>"), 0.7)
+    got = {r["id"]: (r["alone"], r["feature"]["n"], len(r["feature"]["shared"])) for r in parts.df.collect()}
+    assert got == {0: (5, 100, 95), 1: (1, 96, 95)}
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.7, 0.9])
+def test_sketches_never_hide_a_similar_set(spark, threshold):
+    rng = random.Random(int(threshold * 10))
+    base = [rng.getrandbits(62) - 2**61 for _ in range(300)]
+    sets = [(i, rng.sample(base, rng.randint(200, 300))) for i in range(60)]
+    parts = M.shared_parts(spark.createDataFrame(sets, "id long, feature array<long>"), threshold).df
+    a, b = parts.alias("a"), parts.alias("b")
+    hidden = a.join(b, F.col("a.id") < F.col("b.id")).where(M.shared_jaccard(F.col("a.feature"), F.col("b.feature")) >= threshold)
+    assert hidden.where(~M.may_be_similar(threshold)(F.col("a.sketch"), F.col("b.sketch"))).count() == 0 and (threshold > 0.8 or hidden.count() > 10)
