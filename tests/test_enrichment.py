@@ -48,6 +48,21 @@ def test_prompt(spark):
     assert got == {"feed": "f", "prompts": 2, "chars": 6, "n_words": 4, "median_words": 2.0}
 
 
+def test_budget_measures_earlier_titles_once(spark):
+    """Sizes of heads and of the common rest add up to those of whole prompts, and rows don't carry the rest."""
+    rows = [("f", "Été « un »", "Le chat dort.\nIl ΣΟΣ" * 200), ("f", None, None), ("g", "t", "-"), ("g", "", "fin Σ")]
+    articles = spark.createDataFrame(rows, "feed string, title string, text string")
+    for titles in (["un", None, "trois Σ"], []):
+        ledger = spark.createDataFrame(list(enumerate(titles)), "ingest_ord long, title string")
+        history = E.recent_titles(ledger, 9)
+        whole = articles.select("feed", E.build_prompt(F.col("title"), F.col("text"), history.scalar()).alias("prompt"))
+        heads = articles.select("feed", E.prompt_head(F.col("title"), F.col("text")).alias("prompt"))
+        rest = history.select(E.prompt_size(E.prompt_rest(F.col("history")))).scalar()
+        found = E.prompt_budget(heads, "feed", rest)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, E.prompt_budget(whole, "feed").collect()))
+        assert found.schema == E.prompt_budget(whole, "feed").schema
+
+
 def test_failing_rows_get_the_failure_defaults(spark):
     def scorer(batch: pd.DataFrame) -> pd.Series:
         if (batch["title"] == "bad").any():
