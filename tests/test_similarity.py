@@ -266,3 +266,22 @@ def test_sketches_never_hide_a_similar_set(spark, threshold):
     a, b = parts.alias("a"), parts.alias("b")
     hidden = a.join(b, F.col("a.id") < F.col("b.id")).where(M.shared_jaccard(F.col("a.feature"), F.col("b.feature")) >= threshold)
     assert hidden.where(~M.may_be_similar(threshold)(F.col("a.sketch"), F.col("b.sketch"))).count() == 0 and (threshold > 0.8 or hidden.count() > 10)
+
+
+@pytest.mark.parametrize("threshold,sent", [(0.2, 30), (0.9, 4), (0.9, 60), (0.2, 1000)])
+def test_scanned_vectors_equal_all_pairs(spark, monkeypatch, threshold, sent):
+    """Partners among the first vectors, among all others, and by pivots where many have none early."""
+    monkeypatch.setattr(M, "SCAN_BYTES", sent * 8 * 12)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(9, 12))
+    data = [centres[i % 9] + rng.normal(size=12) * rng.choice([0.1, 2.0]) for i in range(160)]
+    unit = np.array(data) / np.linalg.norm(data, axis=1)[:, None]
+    cosines = unit @ unit.T
+    expected = {i: int(np.flatnonzero(cosines[i, :i] >= threshold)[0]) for i in range(160) if (cosines[i, :i] >= threshold).any()}
+    rows = [(i, v.tolist()) for i, v in enumerate(data)] + [(300, [1.0, 0.0]), (301, [1.0, 0.1]), (302, None)]
+    frame = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(3)
+    used = []
+    monkeypatch.setattr(M, "pivot_keys", lambda *a, keys=M.pivot_keys: used.append(1) or keys(*a))
+    found = {r["id"]: r["match_id"] for r in M.similar_vectors(frame, threshold).collect()}
+    assert found.pop(301) == 300 and found == expected
+    assert bool(used) == (sent == 4)
