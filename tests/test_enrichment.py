@@ -63,6 +63,20 @@ def test_budget_measures_earlier_titles_once(spark):
         assert found.schema == E.prompt_budget(whole, "feed").schema
 
 
+def test_only_rare_terms_go_to_their_weights(spark, plan_of):
+    """The same weights however many are sent; texts are not shuffled, only what is summed of them."""
+    rows = [(i, f"Le chat {i % 7} dort ici. Le robot r{i} calcule! Le chat x{i % 20} le.") for i in range(60)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    whole = sorted(map(tuple, E.weighed_terms(docs).collect()))
+    assert len(whole) == 60 * 13
+    for broadcast in (0, 150, 500, 2000):
+        for dealt in (False, True):
+            assert sorted(map(tuple, E.weighed_terms(docs, broadcast, dealt).collect())) == whole
+    assert "Exchange hashpartitioning" not in plan_of(E.weighed_terms(docs, dealt=False))
+    terms = E.weighed_terms(docs, 500)
+    assert E.lead_summary(docs, 1, terms).collect() and sorted(E.lead_summary(docs, 1, terms).collect()) == sorted(E.lead_summary(docs, 1).collect())
+
+
 def test_failing_rows_get_the_failure_defaults(spark):
     def scorer(batch: pd.DataFrame) -> pd.Series:
         if (batch["title"] == "bad").any():
