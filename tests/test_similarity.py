@@ -285,3 +285,16 @@ def test_scanned_vectors_equal_all_pairs(spark, monkeypatch, threshold, sent):
     found = {r["id"]: r["match_id"] for r in M.similar_vectors(frame, threshold).collect()}
     assert found.pop(301) == 300 and found == expected
     assert bool(used) == (sent == 4)
+
+
+def test_repeated_ids_are_answered_as_often_as_they_come(spark):
+    """A row that copies an earlier one doesn't drop the other text of its id, and twins double no answer."""
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(4, 16)).tolist()
+    near = (np.array(v[1]) * 1.01 + 0.01).tolist()
+    frame = spark.createDataFrame([(1, v[0]), (2, v[1]), (3, v[0]), (3, near), (4, v[2]), (4, v[2])], "id long, embedding array<double>")
+    found = sorted((r["id"], r["match_id"]) for r in M.similar_vectors(frame, 0.9).collect())
+    assert found == [(3, 1), (3, 1)]
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    texts = spark.createDataFrame([(1, a), (2, b), (3, a), (3, c), (4, c + " neu"), (5, b), (5, b)], "id long, text string")
+    assert sorted((r["id"], r["match_id"]) for r in M.near_duplicates(texts).collect() if r["id"] in (3, 5)) == [(3, 1), (5, 2), (5, 2)]
