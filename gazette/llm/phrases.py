@@ -1,15 +1,14 @@
 """Phrases whose words occur together more often than their parts would by chance.
 
-Set-oriented mining. The occurrences of all frequent phrases of one length are a relation
-(doc, at, item), kept as a table bucketed by document and sorted by place. Merge-joining it with itself
-on adjacent places gives the occurrences of longer phrases, as pairs of the phrase without its
-last word and the phrase without its first. They are counted by pair; pairs that are frequent get a
-number, and only their occurrences (a semi-join that brings the number along) go into the next
-relation. Since the tables are bucketed by document, the merge-joins shuffle nothing; counts are combined before they are shuffled.
-The frequent phrases of a length are broadcast up to BROADCAST bytes; more of them are joined with the
-occurrences by a join that spreads the rows of very common ones.
-
-A place counts the words of a document, with a gap wherever a piece ends, so phrases never cross
+Level-wise mining. The words of all documents are kept once, as a list of numbers for each document: 64-bit hashes of
+language and word, under a seed for which no two words of the table share one, so that runs of numbers are runs of words.
+Runs of one length are counted where both the run without its last word and the one without its first are frequent. Which
+may be is asked of a bitmap with a bit for each frequent run's hash, broadcast in at most BROADCAST bytes however many there
+are: what it lets through in error is counted and found rare. Where many are met, most of them rare, hashes of few bits are
+counted before runs, and runs only where those are frequent. Nothing else of the occurrences is written, and counts are
+combined before they are shuffled. Shuffle files go when the step that wrote them ends.
+
+A list has a gap wherever a piece ends, so phrases never cross
 pieces. A phrase knows how often each of its beginnings and ends occurs, from the phrases it is made
 of; all products are decimals of 38 digits. A phrase within a longer one that is as frequent is also
 within one that is a single word longer and as frequent, so only those are looked at.
@@ -22,7 +21,6 @@ table, give no rows; columns other than text and lang are not looked at.
 from __future__ import annotations
 
 import contextlib
-import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -30,17 +28,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gazette.common import Staged, new_folder, skew_join, stage
+from gazette.common import Staged, skew_join, stage
 from gazette.llm.tables import keep, table
 
 LONGEST = 5
 LEAST = 100
 TOP = 2000
-#: Bytes of text whose occurrences make a bucket, and the most buckets.
+#: Bytes of text whose words a task takes, and the most parts they are dealt to.
 BUCKET_BYTES = 16 << 20
 MOST_BUCKETS = 65536
-#: Bytes of frequent words or phrases that are still broadcast.
+#: Bytes of a bitmap that is broadcast, and those that 64 bits of it take there.
 BROADCAST = 24 << 20
+WORD_BYTES = 40
+#: Runs that may share a place on average where they are counted by place; where there are fewer than one in FEW words, they are not.
+SHARING = 8
+FEW = 8
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word of its own that ends a piece.
@@ -54,59 +56,72 @@ def _words(text: Column) -> Column:
     return F.split(F.regexp_replace(lowered, r"[.,;:!?\x0A-\x0D]+", f" {_STOP} "), r"[ \t]+")
 
 
-class Relations:
-    """Tables of occurrences bucketed by document; forgotten by the catalog at the end."""
+@contextlib.contextmanager
+def _settings(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go with the step they served, and tasks read no more than BUCKET_BYTES of lists."""
+    split = "spark.sql.files.maxPartitionBytes"
+    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(split)) > BUCKET_BYTES:
+        wanted[split] = str(BUCKET_BYTES)
+    before = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
-    def __init__(self, spark: SparkSession, buckets: int) -> None:
-        self.spark, self.buckets, self.names = spark, buckets, []
 
-    def keep(self, df: DataFrame, order: list[str]) -> DataFrame:
-        """``df`` written to the shared folder and read back with its buckets."""
-        name = f"phrases_{uuid.uuid4().hex}"
-        writer = df.write.bucketBy(self.buckets, "doc").sortBy(*order)
-        writer.option("path", new_folder(self.spark, "llm-phrases")).saveAsTable(name)
-        self.names.append(name)
-        return self.spark.table(name)
+def _number(seed: int, lang: Column, word: Column) -> Column:
+    return F.xxhash64(F.lit(seed), lang, word)
 
-    def forget(self) -> None:
-        for name in self.names:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
+def _seed(counts: DataFrame) -> int:
+    """The first seed for which no two words share a number."""
+    seed = 0
+    while not counts.groupBy(_number(seed, F.col("lang"), F.col("word")).alias("id")).count().where("count > 1").isEmpty():
+        seed += 1
+    return seed
 
-@contextlib.contextmanager
-def _by_document(spark: SparkSession) -> Iterator[None]:
-    """Lets joins on document and place use tables that are partitioned by document alone: a document's rows
-    are no more than its words, so none of these partitions is skewed."""
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(name, "true")
-    spark.conf.set(name, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
 
+class Bitmap:
+    """Bits of the numbers of frequent runs: a row (at, bits) for 64 bits, in about ``most`` bytes at most."""
 
-def _numbered(
-    occurrences: DataFrame, frequent: DataFrame, rows: int, size: int, key: list[str], relations: Relations, most: int
-) -> DataFrame:
-    """Occurrences whose ``key`` is frequent, with its number as ``item``."""
-    found = frequent.select(*key, F.col("id").alias("item"), F.col("f").alias("rows"))
-    if size <= most:
-        joined = occurrences.join(F.broadcast(found.drop("rows")), key)
-    else:
-        one = F.struct(*key)
-        load = found.select(one.alias("_key"), "rows")
-        right = found.select(one.alias("_key"), "item")
-        joined = skew_join(occurrences.withColumn("_key", one), right, "_key", spread=["doc", "at"], rows=rows, load=load)
-        joined = joined.repartition(relations.buckets, "doc")
-    return relations.keep(joined.select("doc", "at", "item"), ["doc", "at"])
+    def __init__(self, numbers: DataFrame, rows: int, most: int) -> None:
+        #: Few numbers lie apart as they are; more of them share the places there are.
+        self.places = None if rows * WORD_BYTES <= most else max(1, most // WORD_BYTES)
+        bit = F.expr("shiftleft(1L, cast(number & 63 as int))")
+        self.bits = numbers.groupBy(self._at(F.col("number")).alias("at")).agg(F.bit_or(bit).alias("bits"))
 
+    def _at(self, number: Column) -> Column:
+        high = F.shiftright(number, 6)
+        return high if self.places is None else F.pmod(high, F.lit(self.places))
 
-def _extended(relation: DataFrame) -> DataFrame:
-    """Occurrences of phrases one word longer: the phrase at a place, and the one at the next."""
-    left = relation.select("doc", "at", F.col("item").alias("left"), (F.col("at") + 1).alias("next"))
-    right = relation.select("doc", F.col("at").alias("next"), F.col("item").alias("right")).hint("merge")
-    return left.join(right, ["doc", "next"]).select("doc", "at", "left", "right")
+    def may_have(self, rows: DataFrame, number: Column) -> DataFrame:
+        """``rows`` whose ``number`` may be among the frequent ones; all that are stay."""
+        asked = rows.withColumn("number", number).withColumn("at", self._at(F.col("number")))
+        met = asked.join(F.broadcast(self.bits), "at")
+        return met.where(F.expr("shiftrightunsigned(bits, cast(number & 63 as int)) & 1 = 1")).drop("at", "bits", "number")
+
+
+def _counted(runs: DataFrame, names: list[str], least: int, places: int, most: int) -> DataFrame:
+    """Frequent ``runs`` and their number ``f``. With ``places`` (a power of two) runs that share a place are counted
+    together first, in short rows, and only those of places with enough of them by themselves."""
+    if places:
+        place = F.xxhash64(*names).bitwiseAND(F.lit(places - 1))
+        crowded = runs.groupBy(place.alias("number")).agg(F.count(F.lit(1)).alias("f")).where(F.col("f") >= least)
+        crowded = stage(crowded.select("number"), "llm-crowded")
+        runs = Bitmap(crowded.df, crowded.rows, most).may_have(runs, place)
+    return runs.groupBy(*names).agg(F.count(F.lit(1)).alias("f")).where(F.col("f") >= least)
+
+
+def _runs(lists: DataFrame, words: int, frequent: Bitmap) -> DataFrame:
+    """(w0, w1, ...): runs of ``words`` words whose first and last part, a word shorter, may be frequent."""
+    names = [f"w{i}" for i in range(words)]
+    shifted = lists.select(*[F.slice("w", i + 1, 2**30).alias(name) for i, name in enumerate(names)])
+    runs = shifted.select(F.inline(F.arrays_zip(*names))).dropna()
+    return frequent.may_have(frequent.may_have(runs, F.xxhash64(*names[:-1])), F.xxhash64(*names[1:]))
 
 
 def _described(pairs: Staged, shorter: Staged) -> Staged:
@@ -143,41 +158,46 @@ def mined(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, top: int
         F.monotonically_increasing_id().alias("doc"), F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")
     )
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    relations = Relations(spark, min(MOST_BUCKETS, size // BUCKET_BYTES + 1))
-    try:
-        with _by_document(spark):
-            return _mined(texts, relations, longest, least, top, broadcast)
-    finally:
-        relations.forget()
+    with _settings(spark):
+        return _mined(texts, min(MOST_BUCKETS, size // BUCKET_BYTES + 1), longest, least, top, broadcast)
 
 
-def _mined(texts: DataFrame, relations: Relations, longest: int, least: int, top: int, broadcast: int) -> DataFrame:
-    cut = texts.select("doc", "lang", _words(F.col("text")).alias("w")).repartition(relations.buckets, "doc")
-    words = relations.keep(cut, ["doc"])
-    all_words = words.select("doc", "lang", F.posexplode("w").alias("at", "word")).where(~F.col("word").isin("", _STOP))
+def _mined(texts: DataFrame, parts: int, longest: int, least: int, top: int, broadcast: int) -> DataFrame:
+    cut = _words(F.col("text"))
+    all_words = texts.select("lang", F.explode(cut).alias("word")).where(~F.col("word").isin("", _STOP))
     counts = keep(all_words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("f")), "word-counts")
     totals = keep(counts.groupBy("lang").agg(F.sum("f").alias("n")), "word-totals")
-    numbered = counts.where(F.col("f") >= least).select("lang", "word", "f", F.monotonically_increasing_id().alias("id"))
-    frequent = stage(numbered, "llm-frequent", F.sum(F.octet_length("word") + F.octet_length("lang") + 64))
-    occurring = int(totals.agg(F.sum("n")).first()[0] or 0)
-    relation = _numbered(all_words, frequent.df, occurring, frequent.rows, ["lang", "word"], relations, broadcast)
-    one = F.array("f")
-    shorter = Staged(frequent.df.select("id", "lang", "f", F.col("word").alias("phrase"), F.col("word").alias("last"), one.alias("begins"), one.alias("ends")), 0)
+    occurring = totals.agg(F.sum("n")).first()[0] or 0
+    seed = _seed(counts)
+    number = F.array(_number(seed, F.col("lang"), F.col("word"))).alias("id")
+    one, word = F.array("f"), F.col("word")
+    frequent = counts.where(F.col("f") >= least).select(
+        number, "lang", "f", word.alias("last"), word.alias("phrase"), one.alias("begins"), one.alias("ends")
+    )
+    shorter = stage(frequent, "llm-frequent")
+    numbers = F.transform(cut, lambda x: F.when(~x.isin("", _STOP), _number(seed, F.col("lang"), x)))
+    # texts are dealt out rather than their longer lists
+    lists = keep(texts.repartition(parts, "doc").select(numbers.alias("w")), "word-lists")
 
     lengths: list[Staged] = []
-    for _ in range(2, longest + 1):
-        longer = relations.keep(_extended(relation), ["doc", "at"])
-        grouped = longer.groupBy("left", "right").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") >= least)
-        pairs = stage(grouped.withColumn("id", F.monotonically_increasing_id()), "llm-phrase-pairs")
+    for n in range(2, longest + 1):
+        known = shorter.df.select(F.xxhash64(*[F.get("id", F.lit(i)) for i in range(n - 1)]).alias("number"))
+        words = [f"w{i}" for i in range(n)]
+        # no more runs are met than there are of the frequent ones a word shorter
+        most = shorter.df.agg(F.sum("f")).first()[0] or 0
+        places = 1 << (most // SHARING).bit_length() if most > occurring // FEW else 0
+        counted = _counted(_runs(lists, n, Bitmap(known, shorter.rows, broadcast)), words, least, places, broadcast)
+        pairs = counted.select(
+            F.array(*words).alias("id"), F.array(*words[:-1]).alias("left"), F.array(*words[1:]).alias("right"), "f"
+        )
+        pairs = stage(pairs, "llm-phrase-pairs")
         if not pairs.rows:
             break
         lengths.append(_described(pairs, shorter))
-        if len(lengths) + 1 < longest:
-            relation = _numbered(longer, pairs.df, occurring, pairs.rows * 64, ["left", "right"], relations, broadcast)
         shorter = lengths[-1]
 
     empty = "lang string, phrase string, f long, n long, cut struct<score long, k int, l long, r long>"
-    parts = [texts.sparkSession.createDataFrame([], empty)]
+    scored = [texts.sparkSession.createDataFrame([], empty)]
     for i, phrases in enumerate(lengths):
         own = phrases.df
         if i + 1 < len(lengths):
@@ -185,8 +205,8 @@ def _mined(texts: DataFrame, relations: Relations, longest: int, least: int, top
             at_left = next_.where(F.col("f") == F.get("begins", F.lit(i + 1))).select(F.col("left").alias("id"))
             at_right = next_.where(F.col("f") == F.get("ends", F.lit(i + 1))).select(F.col("right").alias("id"))
             own = own.join(at_left.unionByName(at_right).distinct(), "id", "left_anti")
-        parts.append(_scored(own.join(totals, "lang"), i + 2).select("lang", "phrase", "f", "n", "cut"))
-    found = reduce(DataFrame.unionByName, parts)
+        scored.append(_scored(own.join(totals, "lang"), i + 2).select("lang", "phrase", "f", "n", "cut"))
+    found = reduce(DataFrame.unionByName, scored)
     order = W.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("f"), "phrase")
     # the rank limit runs before the shuffle, so a task sends at most ``top`` rows per language
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)

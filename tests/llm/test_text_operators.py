@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -12,6 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from gazette import common
 from gazette.llm import align, jaccard, lm, packing, phrases, pii, queries, tokens
 from tools.check import TABLES, _rows
 
@@ -170,6 +172,30 @@ def test_no_phrases_in_an_empty_table(spark):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("phrases_")]
 
 
+def test_phrases_stage_lists_and_keep_no_shuffle(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "work_folder", lambda _: str(tmp_path))
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {b for b in blocks.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in b}
+    names = ["spark.sql.files.maxPartitionBytes", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"]
+    before, settings = shuffles(), [spark.conf.get(n) for n in names]
+    docs = [(i, "a b c d e " * 20, "en") for i in range(30)]
+    assert phrases.mined(table_of(spark, docs), 5, 20, 30, 0).collect()
+    assert [spark.conf.get(n) for n in names] == settings
+    ends = time.time() + 20
+    while shuffles() - before and time.time() < ends:  # files go a little later
+        time.sleep(0.2)
+    assert not shuffles() - before
+    # a row for each document, phrase or word, but none for each of the 3,000 places
+    assert max(spark.read.parquet(str(p)).count() for p in tmp_path.iterdir()) == len(docs)
+
+
+def test_words_that_share_a_number_get_another_seed(spark, phrased, monkeypatch):
+    number = phrases._number
+    monkeypatch.setattr(phrases, "_number", lambda seed, lang, word: number(seed, lang, word) % 3 if seed < 2 else number(seed, lang, word))
+    got = phrases.mined(table_of(spark, phrased[:-1]), 5, 20, 30)
+    assert Counter(map(tuple, got.collect())) == plain_phrases(phrased[:-1], 5, 20, 30)
+
+
 # --- alignment -------------------------------------------------------------------------
 
 
