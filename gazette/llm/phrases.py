@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gazette.common import Staged, skew_join, stage
+from gazette.common import Staged, shuffles_dropped, skew_join, stage
 from gazette.llm.tables import keep, table
 
 LONGEST = 5
@@ -58,19 +58,15 @@ def _words(text: Column) -> Column:
 
 @contextlib.contextmanager
 def _settings(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files go with the step they served, and tasks read no more than BUCKET_BYTES of lists."""
-    split = "spark.sql.files.maxPartitionBytes"
-    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
-    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(split)) > BUCKET_BYTES:
-        wanted[split] = str(BUCKET_BYTES)
-    before = {name: spark.conf.get(name) for name in wanted}
-    for name, value in wanted.items():
-        spark.conf.set(name, value)
+    """Tasks read no more than BUCKET_BYTES of lists."""
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before) > BUCKET_BYTES:
+        spark.conf.set(name, str(BUCKET_BYTES))
     try:
         yield
     finally:
-        for name, value in before.items():
-            spark.conf.set(name, value)
+        spark.conf.set(name, before)
 
 
 def _number(seed: int, lang: Column, word: Column) -> Column:
@@ -158,7 +154,7 @@ def mined(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, top: int
         F.monotonically_increasing_id().alias("doc"), F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")
     )
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    with _settings(spark):
+    with _settings(spark), shuffles_dropped(spark):
         return _mined(texts, min(MOST_BUCKETS, size // BUCKET_BYTES + 1), longest, least, top, broadcast)
 
 
